@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
@@ -28,6 +29,10 @@ from slotwise.operators import (
 from slotwise.plans.materialize import shared_folder
 from slotwise.sources import artifacts
 from slotwise.sources.bookings import read_bookings, read_requests, write_bookings, write_scores
+from slotwise.streaming.history import history_stream
+from slotwise.streaming.io import stream_bookings, stream_requests, write_stream
+from slotwise.streaming.monitoring import drift_stream, noshow_rate_stream
+from slotwise.streaming.scoring import HISTORY, enrich_stream, history_snapshot, score_stream
 
 C = F.col
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,7 +135,9 @@ def filtered_bookings(spark, sf_dir):
 
 @query
 def valid_requests(spark, sf_dir):
-    return cleaning.validate_bookings(tables.requests(spark, sf_dir))[0]
+    """Accepted requests with their optional fields filled."""
+    valid = cleaning.validate_bookings(tables.requests(spark, sf_dir))[0]
+    return cleaning.fill_request_defaults(valid, AS_OF)
 
 
 @query
@@ -655,3 +662,78 @@ def permutation_importance(spark, sf_dir):
     return training.permutation_importance(
         features.feature_matrix(full), model.models[training.FOREST]
     )
+
+
+# --- streams ------------------------------------------------------------------------
+
+
+def _in_files(spark, sf_dir, name: str, parts: list[DataFrame]) -> str:
+    """Write the parts one after the other, two files each: the source of a stream.
+
+    File streams take older files first, so with two files per trigger each part is
+    one micro-batch.
+    """
+    path = _folder(spark, sf_dir, name)
+    for number, part in enumerate(parts):
+        mode = "append" if number else "overwrite"
+        part.repartitionByRange(2, "booking_id").write.mode(mode).parquet(path)
+    return path
+
+
+def _run(spark, sf_dir, name: str, start) -> str:
+    """Run one stream in new folders and return the folder of its results."""
+    root = f"{_folder(spark, sf_dir, name)}-{uuid.uuid4().hex[:8]}"
+    start(f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return f"{root}/out"
+
+
+@query
+def stream_noshow_rate(spark, sf_dir):
+    source = _in_files(spark, sf_dir, "rate-in", _periods(spark, sf_dir))
+    rates = noshow_rate_stream(stream_bookings(spark, source, files_per_trigger=2))
+    out = _run(spark, sf_dir, "rate", lambda path, mark: write_stream(rates, path, mark))
+    return rounded(spark.read.schema(rates.schema).parquet(out))
+
+
+@query
+def stream_history(spark, sf_dir):
+    path = _in_files(spark, sf_dir, "history-in", _periods(spark, sf_dir))
+    source = stream_bookings(spark, path, files_per_trigger=2)
+    out = _run(
+        spark,
+        sf_dir,
+        "history",
+        lambda out, mark: history_stream(source, out, f"{out}-state", mark),
+    )
+    return spark.read.parquet(out).drop("batch")
+
+
+@query
+def stream_enriched(spark, sf_dir):
+    before, after = _periods(spark, sf_dir)
+    path = _in_files(spark, sf_dir, "enrich-in", [after])
+    source, past = stream_bookings(spark, path), history_snapshot(before)
+    out = _run(spark, sf_dir, "enrich", lambda out, mark: enrich_stream(source, past, out, mark))
+    return spark.read.parquet(out).select("booking_id", "customer_id", *HISTORY)
+
+
+@query
+def stream_scored(spark, sf_dir):
+    model = tables.trained(spark, sf_dir)
+    path = _folder(spark, sf_dir, "score-in")
+    tables.requests(spark, sf_dir).drop("booking_id").repartition(2).write.mode("overwrite").json(path)
+    scored = score_stream(stream_requests(spark, path), model, AS_OF)
+    out = _run(spark, sf_dir, "score", lambda out, mark: write_stream(scored, out, mark))
+    return spark.read.schema(scored.schema).parquet(out)
+
+
+@query
+def stream_drift(spark, sf_dir):
+    before, after = _periods(spark, sf_dir, shifted=True)
+    reference = drift.fit_reference(before)
+    middle = F.lit(AS_OF).cast("date").cast("timestamp_ntz")
+    halves = [after.filter(C("booking_datetime") < middle), after.filter(C("booking_datetime") >= middle)]
+    path = _in_files(spark, sf_dir, "drift-in", halves)
+    source = stream_bookings(spark, path, files_per_trigger=2)
+    out = _run(spark, sf_dir, "drift", lambda out, mark: drift_stream(source, reference, out, mark))
+    return drift.read_drift_history(spark, out)

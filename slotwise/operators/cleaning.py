@@ -104,13 +104,14 @@ def require_features(df: DataFrame, names: list[str]) -> DataFrame:
 
 def sanitize_features(df: DataFrame, names: list[str]) -> DataFrame:
     """Null and NaN become 0; only infinite values are clipped, to ±1e6."""
-
-    def clean(name: str) -> Column:
-        value = F.coalesce(F.nanvl(F.col(name).cast("double"), F.lit(0.0)), F.lit(0.0))
-        infinite = F.lit(float("inf"))
-        return F.when(value == infinite, 1e6).when(value == -infinite, -1e6).otherwise(value)
-
-    return df.withColumns({name: clean(name) for name in names})
+    clean = {
+        name: f"""CASE WHEN isnan(CAST(`{name}` AS DOUBLE)) OR `{name}` IS NULL THEN 0D
+                  WHEN CAST(`{name}` AS DOUBLE) = DOUBLE('inf') THEN 1e6D
+                  WHEN CAST(`{name}` AS DOUBLE) = DOUBLE('-inf') THEN -1e6D
+                  ELSE CAST(`{name}` AS DOUBLE) END AS `{name}`"""
+        for name in names
+    }
+    return df.selectExpr(*[clean.get(name, f"`{name}`") for name in df.columns])
 
 
 def cast_features(df: DataFrame, names: list[str]) -> DataFrame:

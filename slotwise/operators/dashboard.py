@@ -214,7 +214,7 @@ def noshow_by_derived(df: DataFrame) -> DataFrame:
         .when(visits < 15, "8-14").otherwise("15+")
     )
     dims = {
-        "lead_bucket": lead_bucket(C("booking_lead_time_hours")).cast("string"),
+        "lead_bucket": lead_bucket().cast("string"),
         "month": F.month("booking_datetime").cast("string"),
         "visit_tier": tier,
     }

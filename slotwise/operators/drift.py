@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -15,51 +16,57 @@ from slotwise.plans.ordered import TASK_ROWS, prior_sums
 C = F.col
 
 
-def _sides(reference: DataFrame, current: DataFrame, names: list[str], kind: str) -> DataFrame:
-    """``feature, value, in_ref, in_cur``, nulls and NaN dropped, one row per cell."""
+def value_counts(df: DataFrame, names: list[str], kind: str) -> DataFrame:
+    """``feature, value, n`` over the given columns in one pass; nulls and NaN are dropped."""
+    cells = F.array(
+        *[
+            F.struct(F.lit(name).alias("feature"), C(name).cast(kind).alias("value"))
+            for name in names
+        ]
+    )
+    melted = df.select(F.inline(cells)).filter(C("value").isNotNull())
+    if kind == "double":
+        melted = melted.filter(~F.isnan("value"))
+    return melted.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
 
-    def melt(df: DataFrame, ref: int) -> DataFrame:
-        cells = F.array(
-            *[
-                F.struct(F.lit(name).alias("feature"), C(name).cast(kind).alias("value"))
-                for name in names
-            ]
-        )
-        return df.select(
-            F.inline(cells),
-            F.lit(ref).cast("long").alias("in_ref"),
-            F.lit(1 - ref).cast("long").alias("in_cur"),
-        )
 
-    both = melt(reference, 1).unionByName(melt(current, 0)).filter(C("value").isNotNull())
-    return both.filter(~F.isnan("value")) if kind == "double" else both
+@dataclass(frozen=True)
+class Reference:
+    """Value counts of the reference set, taken once and compared with many current sets."""
 
+    numeric: DataFrame
+    categorical: DataFrame
+    columns: tuple[str, ...]
 
-def _value_counts(reference, current, names, kind) -> DataFrame:
-    return (
-        _sides(reference, current, names, kind)
-        .groupBy("feature", "value")
-        .agg(F.sum("in_ref").alias("ref"), F.sum("in_cur").alias("cur"))
+
+def fit_reference(df: DataFrame) -> Reference:
+    return Reference(
+        materialize(value_counts(df, _present(K.DRIFT_NUMERIC, df.columns), "double")),
+        materialize(value_counts(df, _present(K.DRIFT_CATEGORICAL, df.columns), "string")),
+        tuple(df.columns),
     )
 
 
-def _in_both(reference: DataFrame, current: DataFrame, names: list[str]) -> list[str]:
-    return [n for n in names if n in reference.columns and n in current.columns]
+def _present(names: list[str], *column_sets) -> list[str]:
+    return [name for name in names if all(name in columns for columns in column_sets)]
 
 
-def ks_2samp(
-    reference: DataFrame,
-    current: DataFrame,
-    names: list[str] | None = None,
-    task_rows: int = TASK_ROWS,
-) -> DataFrame:
-    """``feature, statistic, n_ref, n_cur``: largest distance of the two distribution functions.
+def _both_sides(reference: DataFrame, current: DataFrame, names: list[str]) -> DataFrame:
+    """``feature, value, ref, cur`` from the value counts of both sides."""
+    zero = F.lit(0).cast("long")
+    ref = reference.select("feature", "value", C("n").alias("ref"), zero.alias("cur"))
+    cur = current.select("feature", "value", zero.alias("ref"), C("n").alias("cur"))
+    return (
+        ref.unionByName(cur)
+        .filter(C("feature").isin(*names))
+        .groupBy("feature", "value")
+        .agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
+    )
 
-    Equal values are counted first, so ties are exact and the running sums go over
-    distinct values only.
-    """
-    names = _in_both(reference, current, names or K.DRIFT_NUMERIC)
-    counts = materialize(_value_counts(reference, current, names, "double"))
+
+def _ks(counts: DataFrame, task_rows: int) -> DataFrame:
+    """Running sums go over distinct values, so ties are exact."""
+    counts = materialize(counts)
     running = prior_sums(
         counts, ["feature"], ["value"], {"ref_below": C("ref"), "cur_below": C("cur")}, task_rows
     )
@@ -78,24 +85,13 @@ def ks_2samp(
     )
 
 
-def chi2(
-    reference: DataFrame, current: DataFrame, names: list[str] | None = None
-) -> DataFrame:
-    """``feature, statistic, categories, n_ref, n_cur``.
-
-    Expected current counts follow the combined shares; only the current side is
-    summed. An empty side gives statistic 0.
-    """
-    names = _in_both(reference, current, names or K.DRIFT_CATEGORICAL)
-    counts = _value_counts(reference, current, names, "string")
-    totals = (
-        counts.groupBy("feature")
-        .agg(F.sum("ref").alias("n_ref"), F.sum("cur").alias("n_cur"))
+def _chi2(counts: DataFrame) -> DataFrame:
+    totals = counts.groupBy("feature").agg(
+        F.sum("ref").alias("n_ref"), F.sum("cur").alias("n_cur")
     )
     expected = (C("ref") + C("cur")) * C("n_cur") / (C("n_ref") + C("n_cur"))
-    term = F.when(
-        (C("n_ref") > 0) & (C("n_cur") > 0), (C("cur") - expected) * (C("cur") - expected) / expected
-    ).otherwise(0.0)
+    gap = C("cur") - expected
+    term = F.when((C("n_ref") > 0) & (C("n_cur") > 0), gap * gap / expected).otherwise(0.0)
     # totals has one row per tested column
     return (
         counts.join(F.broadcast(totals), "feature")
@@ -104,6 +100,31 @@ def chi2(
     )
 
 
+def ks_2samp(
+    reference: DataFrame,
+    current: DataFrame,
+    names: list[str] | None = None,
+    task_rows: int = TASK_ROWS,
+) -> DataFrame:
+    """``feature, statistic, n_ref, n_cur``: largest distance of the two distribution functions."""
+    names = _present(names or K.DRIFT_NUMERIC, reference.columns, current.columns)
+    ref, cur = (value_counts(df, names, "double") for df in (reference, current))
+    return _ks(_both_sides(ref, cur, names), task_rows)
+
+
+def chi2(
+    reference: DataFrame, current: DataFrame, names: list[str] | None = None
+) -> DataFrame:
+    """``feature, statistic, categories, n_ref, n_cur``.
+
+    Expected current counts follow the combined shares; only the current side is
+    summed. An empty side gives statistic 0.
+    """
+    names = _present(names or K.DRIFT_CATEGORICAL, reference.columns, current.columns)
+    ref, cur = (value_counts(df, names, "string") for df in (reference, current))
+    return _chi2(_both_sides(ref, cur, names))
+
+
 def kolmogorov_p(distance: float, n_ref: int, n_cur: int) -> float:
     """Two-sided p-value from the Kolmogorov series with the usual finite-size correction."""
     root = math.sqrt(n_ref * n_cur / (n_ref + n_cur))
@@ -153,13 +174,27 @@ def _p_value(
 
 
 def drift_report(
-    reference: DataFrame, current: DataFrame, alpha: float = K.DRIFT_ALPHA
+    reference: DataFrame | Reference,
+    current: DataFrame,
+    alpha: float = K.DRIFT_ALPHA,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
-    """``feature, test, statistic, p_value, drifted``; drifted uses the unrounded p-value."""
-    numeric = ks_2samp(reference, current).withColumns(
+    """``feature, test, statistic, p_value, drifted``; drifted uses the unrounded p-value.
+
+    Columns missing on either side are not tested.
+    """
+    known = reference if isinstance(reference, Reference) else fit_reference(reference)
+    sides = []
+    for names, counts, kind in (
+        (K.DRIFT_NUMERIC, known.numeric, "double"),
+        (K.DRIFT_CATEGORICAL, known.categorical, "string"),
+    ):
+        tested = _present(names, known.columns, current.columns)
+        sides.append(_both_sides(counts, value_counts(current, tested, kind), tested))
+    numeric = _ks(sides[0], task_rows).withColumns(
         {"test": F.lit("KS"), "categories": F.lit(0).cast("long")}
     )
-    categorical = chi2(reference, current).withColumn("test", F.lit("Chi-Square"))
+    categorical = _chi2(sides[1]).withColumn("test", F.lit("Chi-Square"))
     p = _p_value("test", "statistic", "n_ref", "n_cur", "categories")
     return (
         numeric.unionByName(categorical)

@@ -9,7 +9,7 @@ from slotwise import constants as K
 from slotwise.functions.expr import noshow_int
 from slotwise.functions.features import row_features
 from slotwise.operators.cleaning import require_features, sanitize_features
-from slotwise.plans.dims import left_lookup
+from slotwise.plans.dims import small_rows, with_pairs, with_value
 from slotwise.plans.ordered import prior_sums
 
 
@@ -76,26 +76,25 @@ def add_staff_rate(df: DataFrame, staff_rates: DataFrame | None, overall: float)
     """Rate of the staff member, else the overall rate."""
     if staff_rates is None:
         return df.withColumn("staff_noshow_rate", F.lit(float(overall)))
-    rates = staff_rates.withColumnRenamed("staff_noshow_rate", "_rate")
-    return (
-        left_lookup(df, rates, "staff_id")
-        .withColumn("staff_noshow_rate", F.coalesce("_rate", F.lit(float(overall))))
-        .drop("_rate")
+    return with_value(
+        df, staff_rates, "staff_id", "staff_noshow_rate", "staff_noshow_rate", float(overall)
     )
 
 
 def add_labels(df: DataFrame, label_maps: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``<column>_label``; values not in the map get -1."""
+    rows = small_rows(label_maps.select("column_name", "value", "label"))
     for name in columns or K.CATEGORICAL:
-        one = label_maps.filter(F.col("column_name") == name).select(
-            F.col("value").alias("_value"), F.col("label").alias("_label")
-        )
-        keyed = df.withColumn("_value", F.coalesce(F.col(name).cast("string"), F.lit("nan")))
-        df = (
-            left_lookup(keyed, one, "_value")
-            .withColumn(f"{name}_label", F.coalesce("_label", F.lit(-1).cast("long")))
-            .drop("_value", "_label")
-        )
+        keyed = df.withColumn("_key", F.expr(f"coalesce(CAST(`{name}` AS STRING), 'nan')"))
+        label = f"{name}_label"
+        if rows is not None:
+            pairs = [(value, code) for column, value, code in rows if column == name]
+            labelled = with_pairs(keyed, pairs, "_key", label, -1, "bigint")
+        else:
+            one = label_maps.filter(F.col("column_name") == name)
+            one = one.select(F.col("value").alias("_key"), "label")
+            labelled = with_value(keyed, one, "_key", "label", label, -1)
+        df = labelled.drop("_key")
     return df
 
 
@@ -128,17 +127,21 @@ def full_features(
     return add_target(features) if "outcome" in df.columns else features
 
 
-def feature_matrix(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Assemble the cleaned features, in model order, into ``features``; inputs stay as they are."""
-    names = names or feature_list()
+def assembled(df: DataFrame, names: list[str], output: str) -> DataFrame:
+    """Clean ``names`` and assemble them, in that order, into a vector; inputs stay as they are."""
     inputs = [f"_feature_{name}" for name in names]
-    copies = require_features(df, names).withColumns(
-        {copy: F.col(name) for copy, name in zip(inputs, names)}
+    copies = require_features(df, names).selectExpr(
+        "*", *[f"`{name}` AS {copy}" for copy, name in zip(inputs, names)]
     )
-    assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error")
+    assembler = VectorAssembler(inputCols=inputs, outputCol=output, handleInvalid="error")
     return assembler.transform(sanitize_features(copies, inputs)).drop(*inputs)
 
 
+def feature_matrix(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """All features, in model order, as the vector ``features``."""
+    return assembled(df, names or feature_list(), "features")
+
+
 def target_balance(df: DataFrame) -> DataFrame:
     """Bookings per outcome and the no-show share; outcomes are few, so one window is enough."""
     counts = df.groupBy("outcome").agg(F.count(F.lit(1)).alias("bookings"))

@@ -9,7 +9,9 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass, field
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -17,15 +19,17 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slotwise import constants as K
 from slotwise.functions.features import row_features
 from slotwise.operators import features as fx
 from slotwise.operators import metrics
-from slotwise.plans.dims import bounded
+from slotwise.plans.dims import bounded, left_lookup
 from slotwise.plans.materialize import materialize
 
 C = F.col
@@ -56,9 +60,9 @@ class Settings:
 
 
 QUICK = Settings(
-    folds=3, logistic_iterations=50, forest_trees=10, forest_depth=5, boosted_a_trees=5,
-    boosted_a_depth=4, boosted_b_trees=5, boosted_b_depth=3, trials=2, search_trees=(3, 6),
-    search_depth=(2, 4), parallelism=2,
+    folds=3, logistic_iterations=15, forest_trees=10, forest_depth=5, boosted_a_trees=4,
+    boosted_a_depth=3, boosted_b_trees=4, boosted_b_depth=3, trials=2, search_trees=(3, 5),
+    search_depth=(2, 3), parallelism=5,
 )
 
 
@@ -170,51 +174,61 @@ class Prepared:
     weight_total: float
 
 
-_STATIC = [name for name in K.FEATURES if name != "staff_noshow_rate"]
+_AT = K.FEATURES.index("staff_noshow_rate")
 
 
 def prepare(df: DataFrame, s: Settings = Settings()) -> Prepared:
-    """Compute the row features once and write them; folds differ in the staff rate only."""
+    """Compute the features once and write them; folds differ in the staff rate only.
+
+    The features before and after the staff rate are kept as two vectors, so that
+    a fold only has to put its rate between them.
+    """
     known = stratified_folds(fx.add_target(df.filter(C("outcome").isNotNull())), s.folds, s.seed)
     label_maps = materialize(fx.fit_label_maps(known))
-    featured = fx.add_labels(row_features(known), label_maps)
+    featured = fx.add_labels(row_features(add_weight(known)), label_maps)
+    vectors = fx.assembled(
+        fx.assembled(featured, K.FEATURES[:_AT], "head"), K.FEATURES[_AT + 1 :], "tail"
+    )
     table = materialize(
-        add_weight(featured).select(
-            "booking_id", "staff_id", "outcome", "fold", "label", "weight", *_STATIC
-        )
+        vectors.select("booking_id", "staff_id", "outcome", "fold", "label", "weight", "head", "tail")
     )
     counts = materialize(fx.staff_counts(table, "fold"))
     totals = table.agg(F.sum("weight"), F.avg("label")).first()
     return Prepared(table, counts, label_maps, totals[1] or 0.0, totals[0] or 1.0)
 
 
-def _with_vector(p: Prepared, counts: DataFrame, rows: DataFrame) -> DataFrame:
-    shares = counts.agg(F.sum("noshows") / F.sum("rows")).first()[0]
-    overall = K.DEFAULT_GLOBAL_RATE if shares is None else shares
-    rated = fx.add_staff_rate(rows, fx.rates_from_counts(counts), overall)
-    return fx.feature_matrix(rated).select("booking_id", "fold", "label", "weight", "features")
+def _joined(rated: DataFrame) -> DataFrame:
+    parts = VectorAssembler(inputCols=["head", "staff_noshow_rate", "tail"], outputCol="features")
+    return parts.transform(rated).select("booking_id", "fold", "label", "weight", "features")
+
+
+def _overall(counts: DataFrame) -> float:
+    share = counts.agg(F.sum("noshows") / F.sum("rows")).first()[0]
+    return K.DEFAULT_GLOBAL_RATE if share is None else share
+
+
+def _with_vector(p: Prepared, counts: DataFrame) -> DataFrame:
+    return _joined(fx.add_staff_rate(p.table, fx.rates_from_counts(counts), _overall(counts)))
 
 
 def fold_frames(p: Prepared, fold: int) -> tuple[DataFrame, DataFrame]:
     """(training rows, held-out rows); staff rates come from the training rows alone."""
-    counts = p.counts.filter(C("fold") != fold)
-    frame = _with_vector(p, counts, p.table)
+    frame = _with_vector(p, p.counts.filter(C("fold") != fold))
     return frame.filter(C("fold") != fold), frame.filter(C("fold") == fold)
 
 
 def full_frame(p: Prepared) -> DataFrame:
-    return _with_vector(p, p.counts, p.table)
+    return _with_vector(p, p.counts)
 
 
 def out_of_fold_frame(p: Prepared, s: Settings) -> DataFrame:
     """One frame for the parameter search: each row's staff rate leaves its own fold out."""
-    parts = [
-        _with_vector(
-            p, p.counts.filter(C("fold") != fold), p.table.filter(C("fold") == fold)
-        )
+    per_fold = [
+        fx.rates_from_counts(p.counts.filter(C("fold") != fold)).withColumn("fold", F.lit(fold))
         for fold in range(s.folds)
     ]
-    return materialize(reduce(DataFrame.unionByName, parts))
+    rated = left_lookup(p.table, reduce(DataFrame.unionByName, per_fold), ["staff_id", "fold"])
+    return materialize(_joined(rated.fillna(p.overall, ["staff_noshow_rate"])))
 
 
 # --- scores -------------------------------------------------------------------
@@ -242,12 +256,22 @@ def soft_vote(names: list[str]) -> Column:
     return total / len(names)
 
 
+def fit_all(
+    estimators: dict[str, Estimator], frame: DataFrame, parallelism: int
+) -> dict[str, Model]:
+    """Fit several learners on one frame, a few at a time so that their jobs overlap."""
+    names = list(estimators)
+    with ThreadPool(min(parallelism, len(names))) as pool:
+        fit = inheritable_thread_target(frame.sparkSession)(lambda n: estimators[n].fit(frame))
+        return dict(zip(names, pool.map(fit, names, chunksize=1)))
+
+
 def cv_predict(p: Prepared, estimators: dict[str, Estimator], s: Settings) -> DataFrame:
     """``booking_id, label, fold`` and one held-out score column per model."""
     parts = []
     for fold in range(s.folds):
         train, held_out = fold_frames(p, fold)
-        models = {name: estimator.fit(train) for name, estimator in estimators.items()}
+        models = fit_all(estimators, train, s.parallelism)
         parts.append(
             add_scores(held_out, models).select(
                 "booking_id", "label", "fold", *[C(f"`{name}`") for name in estimators]
@@ -326,7 +350,7 @@ def train_all(df: DataFrame, s: Settings = Settings()) -> Trained:
     winner = rows[best]
 
     frame = materialize(full_frame(p))
-    fitted = {name: estimator.fit(frame) for name, estimator in candidates.items()}
+    fitted = fit_all(candidates, frame, s.parallelism)
     used = members if best == ENSEMBLE else [best]
     balance = class_weights(p.table).first().asDict()
     rates, _ = bounded(fx.rates_from_counts(p.counts))

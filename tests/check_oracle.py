@@ -34,7 +34,7 @@ def canonical(df: pd.DataFrame) -> pd.DataFrame:
         elif "datetime" in str(column.dtype):
             out[name] = column.map(lambda v: "" if pd.isna(v) else str(pd.Timestamp(v)))
         else:
-            out[name] = column.map(lambda v: "" if v is None else str(v))
+            out[name] = column.map(lambda v: "" if v is None or v is pd.NA or v != v else str(v))
     return out.sort_values(list(out.columns)).reset_index(drop=True)
 
 
