@@ -495,8 +495,8 @@ def noshow_correlation(spark, sf_dir):
 
 @query
 def risk_factors(spark, sf_dir):
-    df = tables.bookings(spark, sf_dir).select("booking_id", ranked_reasons().alias("found"))
-    return df.select(
+    df = tables.bookings(spark, sf_dir)
+    return df.select("booking_id", ranked_reasons(df.columns).alias("found")).select(
         "booking_id", F.size("found").alias("n"), F.array_join("found", " | ").alias("factors")
     )
 

@@ -102,16 +102,18 @@ def require_features(df: DataFrame, names: list[str]) -> DataFrame:
     return df
 
 
+def clean_value(name: str) -> str:
+    """SQL for a column as a double: null and NaN are 0, only infinite values are clipped."""
+    value = f"CAST(`{name}` AS DOUBLE)"
+    return f"""CASE WHEN `{name}` IS NULL OR isnan({value}) THEN 0D
+        WHEN {value} = DOUBLE('inf') THEN 1e6D WHEN {value} = DOUBLE('-inf') THEN -1e6D
+        ELSE {value} END"""
+
+
 def sanitize_features(df: DataFrame, names: list[str]) -> DataFrame:
-    """Null and NaN become 0; only infinite values are clipped, to ±1e6."""
-    clean = {
-        name: f"""CASE WHEN isnan(CAST(`{name}` AS DOUBLE)) OR `{name}` IS NULL THEN 0D
-                  WHEN CAST(`{name}` AS DOUBLE) = DOUBLE('inf') THEN 1e6D
-                  WHEN CAST(`{name}` AS DOUBLE) = DOUBLE('-inf') THEN -1e6D
-                  ELSE CAST(`{name}` AS DOUBLE) END AS `{name}`"""
-        for name in names
-    }
-    return df.selectExpr(*[clean.get(name, f"`{name}`") for name in df.columns])
+    """The named columns without null, NaN and infinite values (those become ±1e6)."""
+    cleaned = {name: f"{clean_value(name)} AS `{name}`" for name in names}
+    return df.selectExpr(*[cleaned.get(name, f"`{name}`") for name in df.columns])
 
 
 def cast_features(df: DataFrame, names: list[str]) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slotwise import constants as K
 from slotwise.functions.expr import noshow_int
 from slotwise.functions.features import row_features
-from slotwise.operators.cleaning import require_features, sanitize_features
+from slotwise.operators.cleaning import clean_value, require_features
 from slotwise.plans.dims import small_rows, with_pairs, with_value
 from slotwise.plans.ordered import prior_sums
 
@@ -128,13 +128,14 @@ def full_features(
 
 
 def assembled(df: DataFrame, names: list[str], output: str) -> DataFrame:
-    """Clean ``names`` and assemble them, in that order, into a vector; inputs stay as they are."""
-    inputs = [f"_feature_{name}" for name in names]
-    copies = require_features(df, names).selectExpr(
-        "*", *[f"`{name}` AS {copy}" for copy, name in zip(inputs, names)]
-    )
-    assembler = VectorAssembler(inputCols=inputs, outputCol=output, handleInvalid="error")
-    return assembler.transform(sanitize_features(copies, inputs)).drop(*inputs)
+    """Clean ``names`` and add them, in that order, as one vector; inputs stay as they are.
+
+    One array expression instead of a cleaned copy of every column keeps the frame
+    narrow enough for whole-stage code generation.
+    """
+    require_features(df, names)
+    values = F.expr(f"array({', '.join(clean_value(name) for name in names)})")
+    return df.withColumn(output, array_to_vector(values))
 
 
 def feature_matrix(df: DataFrame, names: list[str] | None = None) -> DataFrame:

@@ -55,7 +55,7 @@ def compare(spark, con, name: str, query, sql: str, sf_dir: str) -> str | None:
     left, right = canonical(result.toPandas()), canonical(relation.df())
     if len(left) != len(right):
         return f"rows {len(left)} != {len(right)}"
-    if not left.equals(right):
+    if len(left) and not left.equals(right):
         differs = (left != right).any(axis=1)
         return f"{differs.sum()} rows differ\n{left[differs].head(3)}\n{right[differs].head(3)}"
     return None
