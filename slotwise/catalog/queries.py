@@ -14,6 +14,7 @@ from slotwise.functions import rules
 from slotwise.functions.features import row_features
 from slotwise.functions.reasons import ranked_reasons
 from slotwise.operators import (
+    attribution,
     cleaning,
     dashboard,
     dataset,
@@ -649,19 +650,31 @@ def model_info(spark, sf_dir):
 @query
 def feature_importance(spark, sf_dir):
     """Top 15 by impurity importance of the forest."""
-    return training.feature_importances(
+    return attribution.feature_importances(
         tables.trained(spark, sf_dir).models[training.FOREST]
     ).limit(15)
 
 
+def _attribution_sample(spark, sf_dir) -> DataFrame:
+    """Features of the attribution sample; drawn from all bookings before they are computed."""
+    model = tables.trained(spark, sf_dir)
+    sample = attribution.sample_rows(tables.bookings(spark, sf_dir))
+    full = features.full_features(sample, model.staff_rates, model.label_maps, model.overall)
+    return features.feature_matrix(full).select("booking_id", "label", "features")
+
+
 @query
 def permutation_importance(spark, sf_dir):
-    model = tables.trained(spark, sf_dir)
-    df = tables.bookings(spark, sf_dir)
-    full = features.full_features(df, model.staff_rates, model.label_maps, model.overall)
-    return training.permutation_importance(
-        features.feature_matrix(full), model.models[training.FOREST]
-    )
+    model = tables.trained(spark, sf_dir).models[training.FOREST]
+    return attribution.permutation_importance(_attribution_sample(spark, sf_dir), model)
+
+
+@query
+def contribution_importance(spark, sf_dir):
+    path = _folder(spark, sf_dir, "feature-importance")
+    found = attribution.attribute(tables.trained(spark, sf_dir), _attribution_sample(spark, sf_dir))
+    artifacts.write_feature_importance(found.filter("is_primary"), path)
+    return found
 
 
 # --- streams ------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 A window over a key sorts all rows of that key in a single task, and a window
 without a key sorts the whole table there. Here keys with more than
-``task_rows`` rows are found first (a map-side combined count). All other rows
+``task_rows`` rows are found first, from a sample. All other rows
 use an ordinary window. Rows of the heavy keys are range partitioned on
 (key, order), so that one key spans many partitions; each partition sums its own
 slice, and the totals of the slices before it, at most one row per partition and
@@ -15,29 +15,44 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 TASK_ROWS = 1_000_000
 MAX_HEAVY_KEYS = 50_000
+_SAMPLED_ROWS = 1000
 
 
 def heavy_keys(df: DataFrame, keys: list[str], task_rows: int = TASK_ROWS) -> DataFrame | None:
     """Keys with more than ``task_rows`` rows and their row counts, or None.
 
+    Candidates come from a sample in which such a key has about a thousand rows, so
+    the usual answer, none, costs one pass over the key columns and a small shuffle.
+    Only the candidates are counted exactly. The sample decides how work is split,
+    never which rows are kept.
+
     If there should be more than ``MAX_HEAVY_KEYS`` of them, the heaviest are
     returned; each of the rest then holds under 1/50,000 of the rows, which one
     task can take.
     """
+    if task_rows > _SAMPLED_ROWS:
+        fraction = _SAMPLED_ROWS / task_rows
+        likely = _keys_above(df.sample(fraction, seed=42), keys, _SAMPLED_ROWS // 2)
+        if likely is None:
+            return None
+        df = df.join(F.broadcast(likely.drop("_key_rows")), keys, "left_semi")
+    return _keys_above(df, keys, task_rows)
+
+
+def _keys_above(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
     counts = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_key_rows"))
-        .filter(F.col("_key_rows") > task_rows)
+        .filter(F.col("_key_rows") > limit)
     )
     rows = counts.orderBy(F.desc("_key_rows")).limit(MAX_HEAVY_KEYS).collect()
     return df.sparkSession.createDataFrame(rows, counts.schema) if rows else None
 
 
 def split_by_weight(
-    df: DataFrame, keys: list[str], task_rows: int = TASK_ROWS
+    df: DataFrame, keys: list[str], heavy: DataFrame | None
 ) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ordinary keys, rows of heavy keys with ``_key_rows`` or None)."""
-    heavy = heavy_keys(df, keys, task_rows)
     if heavy is None:
         return df, None
     small = F.broadcast(heavy)
@@ -110,7 +125,14 @@ def prior_sums(
     if not keys:
         spread = df.count() > task_rows
         return _spread_sums(df, [], order, sums) if spread else _window_sums(df, [], order, sums)
-    light, heavy = split_by_weight(df, keys, task_rows)
+    return prior_sums_given(df, keys, order, sums, heavy_keys(df, keys, task_rows))
+
+
+def prior_sums_given(
+    df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], heavy: DataFrame | None
+) -> DataFrame:
+    """``prior_sums`` with the heavy keys already found, for several sums over one table."""
+    light, heavy = split_by_weight(df, keys, heavy)
     result = _window_sums(light, keys, order, sums)
     if heavy is None:
         return result
@@ -128,7 +150,7 @@ def with_position(
     The result of the ordinary keys stays hash partitioned on ``keys``, so a
     following aggregation by the same keys adds no exchange.
     """
-    light, heavy = split_by_weight(df, keys, task_rows)
+    light, heavy = split_by_weight(df, keys, heavy_keys(df, keys, task_rows))
     per_key = Window.partitionBy(*keys)
     result = light.withColumns(
         {

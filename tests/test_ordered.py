@@ -116,3 +116,9 @@ def test_value_lookup_as_case_or_join(spark, size):
     dim = spark.createDataFrame(pairs, "k string, v double")
     found = with_value(facts, dim, "k", "v", "out", -1.0)
     assert rows(found, "id", "out") == [(1, 1.0), (2, 0.5), (3, -1.0), (4, -1.0)]
+
+
+def test_heavy_keys_from_a_sample(spark):
+    df = spark.range(30_000).withColumn("k", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")))
+    assert [tuple(r) for r in heavy_keys(df, ["k"], 5_000).collect()] == [(0, 10_000)]
+    assert heavy_keys(df, ["k"], 20_000) is None
