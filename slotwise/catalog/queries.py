@@ -591,7 +591,11 @@ def drift_history(spark, sf_dir):
     for day, shifted in (("2026-03-16", False), ("2026-03-17", True)):
         report = drift.drift_report(*_periods(spark, sf_dir, shifted))
         drift.append_drift_log(drift.drift_summary(report, day), path)
-    return drift.read_drift_history(spark, path)
+    return _flat(drift.read_drift_history(spark, path))
+
+
+def _flat(log: DataFrame) -> DataFrame:
+    return log.withColumn("drifted_features", F.array_join("drifted_features", ", "))
 
 
 # --- models -----------------------------------------------------------------------
@@ -749,4 +753,4 @@ def stream_drift(spark, sf_dir):
     path = _in_files(spark, sf_dir, "drift-in", halves)
     source = stream_bookings(spark, path, files_per_trigger=2)
     out = _run(spark, sf_dir, "drift", lambda out, mark: drift_stream(source, reference, out, mark))
-    return drift.read_drift_history(spark, out)
+    return _flat(drift.read_drift_history(spark, out))

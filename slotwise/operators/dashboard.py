@@ -11,6 +11,7 @@ from slotwise.functions import rules
 from slotwise.functions.expr import is_noshow, noshow_int, price
 from slotwise.operators.cleaning import date_range, filter_bookings
 from slotwise.operators.retention import _zero_filled
+from slotwise.plans.dims import small_rows
 
 C = F.col
 HIGH_RISK_ABOVE = 0.35
@@ -103,15 +104,16 @@ def branch_service_heatmap(df: DataFrame, min_n: int = 20) -> DataFrame:
 
 
 def branch_service_pivot(df: DataFrame, min_n: int = 20) -> DataFrame:
+    """One column per service, from the lowest to the highest mean rate."""
     cells = branch_service_heatmap(df, min_n)
-    order = [
-        row["service_type"]
-        for row in cells.select("service_type", "service_mean")
-        .distinct()
-        .orderBy(F.asc_nulls_last("service_mean"), "service_type")
-        .limit(1000)
-        .collect()
-    ]
+    services = small_rows(cells.select("service_type", "service_mean").distinct(), 10_000)
+    if services is None:
+        raise ValueError("too many services for one column each; use branch_service_heatmap")
+    ranked = sorted(
+        (row for row in services if row["service_type"] is not None),
+        key=lambda row: (row["service_mean"] is None, row["service_mean"] or 0, row["service_type"]),
+    )
+    order = [row["service_type"] for row in ranked]
     wide = cells.groupBy("branch").pivot("service_type", order).agg(F.first("noshow_rate"))
     return wide.orderBy("branch")
 

@@ -39,14 +39,19 @@ class Reference:
     columns: tuple[str, ...]
 
 
-def fit_reference(df: DataFrame) -> Reference:
+def _reference(df: DataFrame) -> Reference:
     return Reference(
-        materialize(value_counts(df, _present(K.DRIFT_NUMERIC, df.columns), "double")),
-        materialize(value_counts(df, _present(K.DRIFT_CATEGORICAL, df.columns), "string")),
+        value_counts(df, _present(K.DRIFT_NUMERIC, df.columns), "double"),
+        value_counts(df, _present(K.DRIFT_CATEGORICAL, df.columns), "string"),
         tuple(df.columns),
     )
 
 
+def fit_reference(df: DataFrame) -> Reference:
+    lazy = _reference(df)
+    return Reference(materialize(lazy.numeric), materialize(lazy.categorical), lazy.columns)
+
+
 def _present(names: list[str], *column_sets) -> list[str]:
     return [name for name in names if all(name in columns for columns in column_sets)]
 
@@ -183,7 +188,7 @@ def drift_report(
 
     Columns missing on either side are not tested.
     """
-    known = reference if isinstance(reference, Reference) else fit_reference(reference)
+    known = reference if isinstance(reference, Reference) else _reference(reference)
     sides = []
     for names, counts, kind in (
         (K.DRIFT_NUMERIC, known.numeric, "double"),
@@ -236,4 +241,5 @@ def read_drift_history(spark: SparkSession, path: str) -> DataFrame:
     folder = jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], schema.DRIFT_LOG)
-    return spark.read.schema(schema.DRIFT_LOG).json(path).orderBy("timestamp")
+    log = spark.read.schema(schema.DRIFT_LOG).json(path)
+    return log.select(schema.DRIFT_LOG.names).orderBy("timestamp")

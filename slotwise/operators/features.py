@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from slotwise import constants as K
 from slotwise.functions.expr import noshow_int
@@ -144,8 +144,7 @@ def feature_matrix(df: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 
 def target_balance(df: DataFrame) -> DataFrame:
-    """Bookings per outcome and the no-show share; outcomes are few, so one window is enough."""
+    """Bookings per outcome and the share of each."""
     counts = df.groupBy("outcome").agg(F.count(F.lit(1)).alias("bookings"))
-    return counts.withColumn(
-        "share", F.col("bookings") / F.sum("bookings").over(Window.partitionBy())
-    )
+    total = counts.agg(F.sum("bookings")).scalar()
+    return counts.withColumn("share", F.col("bookings") / total)
