@@ -30,10 +30,11 @@ def roc_auc(
     scored: DataFrame, keys: list[str] | None = None, task_rows: int = TASK_ROWS
 ) -> DataFrame:
     """``roc_auc`` (per key): chance that a positive outranks a negative, ties count half."""
-    keys = keys or []
-    below = prior_sums(
-        score_counts(scored, keys), keys, ["score"], {"neg_below": C("neg")}, task_rows
-    )
+    return _auc(score_counts(scored, keys), keys or [], task_rows)
+
+
+def _auc(counts: DataFrame, keys: list[str], task_rows: int) -> DataFrame:
+    below = prior_sums(counts, keys, ["score"], {"neg_below": C("neg")}, task_rows)
     wins = C("pos") * (C("neg_below") + C("neg") / 2)
     totals = below.groupBy(*keys).agg(
         F.sum(wins).alias("wins"), F.sum("pos").alias("p"), F.sum("neg").alias("n")
@@ -47,10 +48,13 @@ def precision_recall(
     scored: DataFrame, keys: list[str] | None = None, task_rows: int = TASK_ROWS
 ) -> DataFrame:
     """``score, tp, fp, positives`` when everything at or above ``score`` is called positive."""
-    keys = keys or []
-    counts = score_counts(scored, keys).withColumn("below_top", -C("score"))
+    return _points(score_counts(scored, keys), keys or [], task_rows)
+
+
+def _points(counts: DataFrame, keys: list[str], task_rows: int) -> DataFrame:
+    downwards = counts.withColumn("below_top", -C("score"))
     above = prior_sums(
-        counts, keys, ["below_top"], {"tp_above": C("pos"), "fp_above": C("neg")}, task_rows
+        downwards, keys, ["below_top"], {"tp_above": C("pos"), "fp_above": C("neg")}, task_rows
     )
     points = above.select(
         *keys,
@@ -60,23 +64,24 @@ def precision_recall(
     )
     if not keys:
         return points.withColumn("positives", counts.agg(F.sum("pos")).scalar())
-    # keyed by model: one row per model
-    positives = counts.groupBy(*keys).agg(F.sum("pos").alias("positives"))
-    return left_lookup(points, positives, keys)
+    return left_lookup(points, counts.groupBy(*keys).agg(F.sum("pos").alias("positives")), keys)
 
 
 def best_f1_threshold(
     scored: DataFrame, keys: list[str] | None = None, task_rows: int = TASK_ROWS
 ) -> DataFrame:
     """``threshold, best_f1``: the lowest score with the highest F1; 0.5 if there are no rows."""
-    keys = keys or []
-    points = precision_recall(scored, keys, task_rows)
+    return _threshold(score_counts(scored, keys), keys or [], task_rows)
+
+
+def _threshold(counts: DataFrame, keys: list[str], task_rows: int) -> DataFrame:
     precision = C("tp") / (C("tp") + C("fp"))
     recall = F.when(C("positives") > 0, C("tp") / C("positives")).otherwise(1.0)
     f1 = 2 * (precision * recall) / (precision + recall + 1e-8)
     highest = F.max(F.struct(f1.alias("f1"), (-C("score")).alias("minus_score")))
     return (
-        points.groupBy(*keys)
+        _points(counts, keys, task_rows)
+        .groupBy(*keys)
         .agg(highest.alias("best"))
         .select(
             *keys,
@@ -120,16 +125,27 @@ def _ratios(suffix: str = "") -> list:
     ]
 
 
+def _cells(called, suffix: str = "") -> list:
+    """``tp, fp, fn, tn`` as sums over score counts."""
+
+    def total(condition, side):
+        return F.coalesce(F.sum(F.when(condition, C(side))), F.lit(0))
+
+    return [
+        total(called, "pos").alias("tp" + suffix),
+        total(called, "neg").alias("fp" + suffix),
+        total(~called, "pos").alias("fn" + suffix),
+        total(~called, "neg").alias("tn" + suffix),
+    ]
+
+
 def metrics_at(scored: DataFrame, threshold: float) -> DataFrame:
     """``f1, precision, recall, accuracy`` at a threshold."""
-    positive, called = C("label") == 1, C("score") >= threshold
-    counted = scored.agg(
-        F.count_if(positive & called).alias("tp"),
-        F.count_if(~positive & called).alias("fp"),
-        F.count_if(positive & ~called).alias("fn"),
-        F.count_if(~positive & ~called).alias("tn"),
+    positive = C("label") == 1
+    sides = scored.select(
+        "score", positive.cast("long").alias("pos"), (~positive).cast("long").alias("neg")
     )
-    return counted.select(*_ratios())
+    return sides.agg(*_cells(C("score") >= threshold)).select(*_ratios())
 
 
 DEFAULT = "_default_thresh"
@@ -138,29 +154,19 @@ DEFAULT = "_default_thresh"
 def compare_models(scored: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """One row per ``model_name``: AUC, tuned threshold, metrics there and at 0.5.
 
-    Input: ``model_name, label, score``. Every step works on counts per distinct
-    score, so the scored rows are aggregated once.
+    Input: ``model_name, label, score``. The scored rows are read once, into counts
+    per distinct score; everything else works on those.
     """
     key = ["model_name"]
-    auc = roc_auc(scored, key, task_rows)
-    tuned = best_f1_threshold(scored, key, task_rows)
-    limits = left_lookup(auc, tuned, key)
-    positive = C("label") == 1
-
-    def cells(called, suffix):
-        return [
-            F.count_if(positive & called).alias("tp" + suffix),
-            F.count_if(~positive & called).alias("fp" + suffix),
-            F.count_if(positive & ~called).alias("fn" + suffix),
-            F.count_if(~positive & ~called).alias("tn" + suffix),
-        ]
-
-    counted = (
-        left_lookup(scored, limits, key)
+    counts = score_counts(scored, key)
+    limits = left_lookup(_auc(counts, key, task_rows), _threshold(counts, key, task_rows), key)
+    tuned, default = C("score") >= C("threshold"), C("score") >= 0.5
+    cells = (
+        left_lookup(counts, limits, key)
         .groupBy("model_name", "roc_auc", "threshold")
-        .agg(*cells(C("score") >= C("threshold"), ""), *cells(C("score") >= 0.5, DEFAULT))
+        .agg(*_cells(tuned), *_cells(default, DEFAULT))
     )
-    return counted.select(
+    return cells.select(
         "model_name",
         "roc_auc",
         *_ratios(),
@@ -172,8 +178,11 @@ def compare_models(scored: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
 
 
 def binary_metrics(scored: DataFrame, threshold: float, task_rows: int = TASK_ROWS) -> DataFrame:
-    auc = roc_auc(scored, task_rows=task_rows).scalar()
-    return metrics_at(scored, threshold).withColumn("roc_auc", auc)
+    """AUC and the metrics at a threshold, from one pass over the scored rows."""
+    counts = score_counts(scored)
+    auc = _auc(counts, [], task_rows).scalar()
+    row = counts.agg(*_cells(C("score") >= threshold)).select(*_ratios())
+    return row.withColumn("roc_auc", auc)
 
 
 def calibration_curve(scored: DataFrame, bins: int = 10, keys: list[str] | None = None) -> DataFrame:

@@ -134,11 +134,15 @@ def _long_values(cdf: DataFrame) -> DataFrame:
     return cdf.select("customer_id", F.inline(entries))
 
 
+def _ranked(values: DataFrame, task_rows: int) -> DataFrame:
+    one = F.lit(1).cast("long")
+    placed = prior_sums(values, ["score"], ["value", "customer_id"], {"rank": one}, task_rows)
+    return placed.withColumn("rank", C("rank") + 1)
+
+
 def ranked_values(cdf: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """``score, value, customer_id, rank``: rank from 1, ties in customer order."""
-    return prior_sums(
-        _long_values(cdf), ["score"], ["value", "customer_id"], {"rank": F.lit(1).cast("long")}, task_rows
-    ).withColumn("rank", C("rank") + 1)
+    return _ranked(_long_values(cdf), task_rows)
 
 
 def rfm_scores(cdf: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
@@ -146,13 +150,14 @@ def rfm_scores(cdf: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
 
     With N customers rank k is in bucket max(1, ceil(5(k-1)/(N-1))). Only the last
     (value, customer) of the first four buckets is looked up, twelve rows in all,
-    so the profiles themselves are neither sorted nor joined.
+    so the profiles themselves are neither sorted nor joined. They are read twice:
+    pass written ones if they are costly.
     """
-    cdf = materialize(cdf)
-    customers = cdf.count()
+    values = materialize(_long_values(cdf))
+    customers = values.count() // len(_RFM_INPUTS)
     last_ranks = [bucket * (customers - 1) // 5 + 1 for bucket in range(1, 5)]
     ends = (
-        ranked_values(cdf, task_rows).filter(C("rank").isin(last_ranks)).collect()
+        _ranked(values, task_rows).filter(C("rank").isin(last_ranks)).collect()
         if customers
         else []
     )
