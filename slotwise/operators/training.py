@@ -21,7 +21,6 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -30,7 +29,7 @@ from slotwise.functions.features import row_features
 from slotwise.operators import features as fx
 from slotwise.operators import metrics
 from slotwise.plans.dims import bounded, left_lookup
-from slotwise.plans.materialize import materialize
+from slotwise.plans.materialize import materialize, materialize_spread
 
 C = F.col
 
@@ -147,17 +146,31 @@ def search_space(estimator: GBTClassifier, s: Settings) -> list[dict]:
 
 
 def search_boosted(frame: DataFrame, s: Settings) -> tuple[GBTClassifier, float]:
-    """Best parameters by mean AUC over the folds in ``fold``; returns (estimator, AUC)."""
+    """Best parameters by mean AUC over the folds in ``fold``; returns (estimator, AUC).
+
+    Unlike ``CrossValidator`` this does not refit the winner on all rows, which the
+    caller does later with its own features.
+    """
     base = GBTClassifier(weightCol="weight", seed=s.seed)
     grids = search_space(base, s)
-    validator = CrossValidator(
-        estimator=base, estimatorParamMaps=grids, numFolds=s.folds, foldCol="fold",
-        evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"),
-        parallelism=s.parallelism,
-    )
-    result = validator.fit(frame)
-    best = max(range(len(grids)), key=lambda i: result.avgMetrics[i])
-    return base.copy(grids[best]), result.avgMetrics[best]
+    evaluator = BinaryClassificationEvaluator(metricName="areaUnderROC")
+
+    def held_out_auc(trial: tuple[int, int]) -> float:
+        number, fold = trial
+        model = base.fit(frame.filter(C("fold") != fold), grids[number])
+        return evaluator.evaluate(model.transform(frame.filter(C("fold") == fold)))
+
+    trials = [(number, fold) for number in range(len(grids)) for fold in range(s.folds)]
+    aucs = _in_parallel(frame, held_out_auc, trials, s.parallelism)
+    means = [sum(aucs[i * s.folds : (i + 1) * s.folds]) / s.folds for i in range(len(grids))]
+    best = max(range(len(grids)), key=means.__getitem__)
+    return base.copy(grids[best]), means[best]
+
+
+def _in_parallel(frame: DataFrame, work, items: list, parallelism: int) -> list:
+    """Run a few driver threads so that the Spark jobs of several fits overlap."""
+    with ThreadPool(min(parallelism, len(items))) as pool:
+        return pool.map(inheritable_thread_target(frame.sparkSession)(work), items, chunksize=1)
 
 
 # --- features per fold --------------------------------------------------------
@@ -189,8 +202,9 @@ def prepare(df: DataFrame, s: Settings = Settings()) -> Prepared:
     vectors = fx.assembled(
         fx.assembled(featured, K.FEATURES[:_AT], "head"), K.FEATURES[_AT + 1 :], "tail"
     )
-    table = materialize(
-        vectors.select("booking_id", "staff_id", "outcome", "fold", "label", "weight", "head", "tail")
+    table = materialize_spread(
+        vectors.select("booking_id", "staff_id", "outcome", "fold", "label", "weight", "head", "tail"),
+        "booking_id",
     )
     counts = materialize(fx.staff_counts(table, "fold"))
     totals = table.agg(F.sum("weight"), F.avg("label")).first()
@@ -259,11 +273,9 @@ def soft_vote(names: list[str]) -> Column:
 def fit_all(
     estimators: dict[str, Estimator], frame: DataFrame, parallelism: int
 ) -> dict[str, Model]:
-    """Fit several learners on one frame, a few at a time so that their jobs overlap."""
     names = list(estimators)
-    with ThreadPool(min(parallelism, len(names))) as pool:
-        fit = inheritable_thread_target(frame.sparkSession)(lambda n: estimators[n].fit(frame))
-        return dict(zip(names, pool.map(fit, names, chunksize=1)))
+    models = _in_parallel(frame, lambda name: estimators[name].fit(frame), names, parallelism)
+    return dict(zip(names, models))
 
 
 def cv_predict(p: Prepared, estimators: dict[str, Estimator], s: Settings) -> DataFrame:

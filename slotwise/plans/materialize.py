@@ -30,6 +30,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize_spread(df: DataFrame, key: str) -> DataFrame:
+    """``materialize`` for a frame read many times: on at least as many partitions as cores.
+
+    Only a table small enough to have landed in fewer partitions is shuffled.
+    """
+    kept = materialize(df)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return kept if kept.rdd.getNumPartitions() >= cores else materialize(kept.repartition(cores, key))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 

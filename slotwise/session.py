@@ -12,6 +12,9 @@ def local_session(cores: str = "8", app: str = "slotwise") -> SparkSession:
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # test tables are a few megabytes: let scans and shuffles still use all cores
+        .config("spark.sql.files.openCostInBytes", "131072")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "131072")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
