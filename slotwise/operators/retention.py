@@ -169,7 +169,8 @@ def retention_strategies(cdf: DataFrame) -> DataFrame:
             values = arguments[key].get(name)
             text = F.format_string(pattern, *values) if values else F.lit(pattern)
             fields.append(text.alias(name))
-        fields.append((C("hibernating_customers") if key == "hibernating" else F.lit(1)).cast("long").alias("size"))
+        size = C("hibernating_customers") if key == "hibernating" else F.lit(1).cast("long")
+        fields.append(size.alias("size"))
         rows.append(F.struct(*fields))
     return (
         retention_strategy_metrics(cdf)

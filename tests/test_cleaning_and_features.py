@@ -78,7 +78,8 @@ def test_row_features_of_named_bookings(make):
     assert chronic["cash_x_chronic"] == 1 and chronic["cash_x_new"] == 0
     assert safe["is_vip"] == safe["weekend_premium_prepaid"] == safe["prepaid_x_loyal"] == 1
     assert safe["reliability_score"] == pytest.approx(math.log(21))
-    assert (unknown["payment_risk_encoded"], unknown["service_commitment"], unknown["branch_tier"]) == (2, 2, 2)
+    assert unknown["payment_risk_encoded"] == unknown["service_commitment"] == 2
+    assert unknown["branch_tier"] == 2
 
 
 def test_null_inputs_give_zero_flags(make):

@@ -55,7 +55,10 @@ def test_noshow_rate_of_closed_windows(spark, bookings, source, tmp_path):
 
 def test_scores_equal_the_batch(spark, bookings, trained, tmp_path):
     path = str(tmp_path / "in")
-    requests = bookings.select(*[c for c in schema.REQUEST.names if c != "month"]).withColumn("hour_of_day", F.when(F.col("staff_id") == "S03", 99).otherwise(F.col("hour_of_day")))
+    wrong_hour = F.when(F.col("staff_id") == "S03", 99).otherwise(F.col("hour_of_day"))
+    requests = bookings.select(
+        *[c for c in schema.REQUEST.names if c != "month"]
+    ).withColumn("hour_of_day", wrong_hour)
     requests.write.json(path)
     stream = stream_requests(spark, path)
     scored = score_stream(stream, trained, "2025-06-15")
