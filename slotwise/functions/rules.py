@@ -66,6 +66,7 @@ def visit_trend(n: Column, first_days: Column, second_days: Column) -> Column:
     second = (n - half) / (F.greatest(second_days, F.lit(1)) / 30)
     return (
         F.when(n < 4, "new")
+        .when(first_days.isNull() | second_days.isNull(), "stable")
         .when(second > first * 1.2, "accelerating")
         .when(second < first * 0.7, "declining")
         .otherwise("stable")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from slotwise.functions.expr import noshow_int
-from slotwise.plans.ordered import TASK_ROWS, prior_sums
+from slotwise.plans.ordered import TASK_ROWS, in_time, prior_sums
 
 
 def customer_history(df: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
@@ -19,6 +19,4 @@ def customer_history(df: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     if "cancelled" in df.columns:
         sums["prior_cancellations"] = F.col("cancelled").cast("long")
     known = df.filter(F.col("customer_id").isNotNull())
-    return prior_sums(
-        known, ["customer_id"], ["booking_datetime", "booking_id"], sums, task_rows
-    )
+    return prior_sums(known, ["customer_id"], in_time(), sums, task_rows)

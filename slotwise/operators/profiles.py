@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from slotwise import constants as K
 from slotwise.functions import rules
-from slotwise.functions.expr import any_of, flag, is_noshow, price, whole_days
+from slotwise.functions.expr import any_of, at_least_one, flag, is_noshow, price, whole_days
 from slotwise.plans.materialize import materialize
-from slotwise.plans.ordered import TASK_ROWS, prior_sums, with_position
+from slotwise.plans.ordered import TASK_ROWS, in_time, prior_sums, with_position
 
 C = F.col
 
@@ -38,7 +38,7 @@ def _trend() -> Column:
 def visit_trend(df: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """``customer_id, visit_trend``."""
     rows = df.filter(C("customer_id").isNotNull()).select("customer_id", "booking_datetime", "booking_id")
-    placed = with_position(rows, ["customer_id"], ["booking_datetime", "booking_id"], task_rows)
+    placed = with_position(rows, ["customer_id"], in_time(), task_rows)
     ends = placed.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("total_rows"),
         *[value.alias(name) for name, value in _halves().items()],
@@ -85,7 +85,7 @@ def customer_profiles(
         "payment_method", "outcome", "booking_lead_time_hours", "service_duration_mins",
         "past_cancellation_count",
     )
-    placed = with_position(rows, ["customer_id"], ["booking_datetime", "booking_id"], task_rows)
+    placed = with_position(rows, ["customer_id"], in_time(), task_rows)
     core = placed.groupBy("customer_id").agg(
         *[value.alias(name) for name, value in {**_totals(), **_halves()}.items()]
     )
@@ -96,15 +96,15 @@ def customer_profiles(
             "noshow_rate": C("noshow_count") / bookings,
             "show_rate": C("show_count") / bookings,
             "days_since_last_visit": whole_days(reference, C("last_visit")),
-            "customer_tenure_days": F.greatest(
-                whole_days(C("last_visit"), C("first_visit")), F.lit(1).cast("long")
+            "customer_tenure_days": at_least_one(
+                whole_days(C("last_visit"), C("first_visit"))
             ),
             "estimated_ltv": C("total_revenue"),
             "cancellation_rate": F.coalesce(C("max_cancel_count"), F.lit(0)) / bookings,
             "visit_trend": _trend(),
         }
     )
-    months = F.greatest(C("customer_tenure_days") / 30, F.lit(1.0))
+    months = at_least_one(C("customer_tenure_days") / 30)
     return (
         derived.drop("total_rows", *_TREND_INPUTS)
         .withColumn("visit_frequency", C("total_bookings") / months)

@@ -18,6 +18,11 @@ MAX_HEAVY_KEYS = 50_000
 _SAMPLED_ROWS = 1000
 
 
+def in_time() -> list:
+    """Bookings of a key in order of time, undated ones last, the id deciding ties."""
+    return [F.col("booking_datetime").asc_nulls_last(), "booking_id"]
+
+
 def heavy_keys(df: DataFrame, keys: list[str], task_rows: int = TASK_ROWS) -> DataFrame | None:
     """Keys with more than ``task_rows`` rows and their row counts, or None.
 
@@ -113,14 +118,14 @@ def _spread_sums(df: DataFrame, keys, order, sums: dict[str, Column]) -> DataFra
 def prior_sums(
     df: DataFrame,
     keys: list[str],
-    order: list[str],
+    order: list,
     sums: dict[str, Column],
     task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Add, per row, sums over the rows of the same key that come before it.
 
-    ``order`` must be a total order within a key; ``keys`` may be empty and must
-    not be null. Columns named in ``sums`` are appended; no row is dropped.
+    ``order``, names or sort columns, must be a total order within a key; ``keys`` may
+    be empty and must not be null. Columns named in ``sums`` are appended; no row is dropped.
     """
     if not keys:
         spread = df.count() > task_rows
@@ -129,7 +134,7 @@ def prior_sums(
 
 
 def prior_sums_given(
-    df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], heavy: DataFrame | None
+    df: DataFrame, keys: list[str], order: list, sums: dict[str, Column], heavy: DataFrame | None
 ) -> DataFrame:
     """``prior_sums`` with the heavy keys already found, for several sums over one table."""
     light, heavy = split_by_weight(df, keys, heavy)
@@ -143,7 +148,7 @@ def prior_sums_given(
 
 
 def with_position(
-    df: DataFrame, keys: list[str], order: list[str], task_rows: int = TASK_ROWS
+    df: DataFrame, keys: list[str], order: list, task_rows: int = TASK_ROWS
 ) -> DataFrame:
     """Add ``position`` (from 1) and ``key_rows`` per key; one shuffle on the key.
 

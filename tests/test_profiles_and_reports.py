@@ -143,3 +143,23 @@ def test_booking_segment_differs_from_customer_segment(make):
     )
     counts = dashboard.booking_segment_distribution(df).collect()
     assert {r["segment"] for r in counts} == {"VIP", "Loyal", "At-Risk", "Occasional", "New"}
+
+
+def test_undated_bookings_come_last_and_undated_customers_have_no_score(make):
+    rows = visits("A", [1, 15, 20, 21]) + [dict(customer_id="A", booking_datetime=None)] * 2
+    rows += [dict(customer_id="U", booking_datetime=None)] * 6
+    found = profile(make, rows)
+    # halves are days 1, 15, 20 and day 21 with the two undated ones
+    assert found["A"]["visit_trend"] == "accelerating" and found["A"]["total_bookings"] == 6
+    undated = found["U"]
+    assert (undated["visit_trend"], undated["segment"]) == ("stable", "Loyal")
+    assert undated["churn_score"] is None and undated["churn_risk"] == "LOW"
+    assert undated["visit_frequency"] is None and undated["customer_tenure_days"] is None
+
+
+def test_undated_bookings_follow_the_dated_ones_in_history(make):
+    from slotwise.operators.history import customer_history
+
+    rows = [dict(customer_id="A", booking_datetime=None, outcome="No-Show")] + visits("A", [1, 2])
+    found = {r["booking_id"]: r["prior_visits"] for r in customer_history(make(*rows)).collect()}
+    assert found == {"B000": 2, "B001": 0, "B002": 1}
