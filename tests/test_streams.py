@@ -1,5 +1,8 @@
 """Streams give what the same plan gives on a batch."""
 
+import os
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,6 +30,25 @@ def source(bookings, tmp_path_factory):
     return path
 
 
+def test_a_repeated_batch_changes_nothing(spark, source, tmp_path):
+    """A run that stopped after its work but before its commit does the last batch again."""
+    stream = stream_bookings(spark, source, files_per_trigger=1)
+    out, state, mark = (str(tmp_path / name) for name in ("out", "state", "mark"))
+    history_stream(stream, out, state, mark, 2).awaitTermination()
+    first = sorted(tuple(r) for r in spark.read.parquet(out).collect())
+    last = "4"
+    shutil.copytree(
+        mark,
+        tmp_path / "again",
+        ignore=lambda folder, names: [n for n in names if n.strip(".crc") == last]
+        if folder.endswith("commits")
+        else [],
+    )
+    history_stream(stream, out, state, str(tmp_path / "again"), 2).awaitTermination()
+    assert os.path.exists(tmp_path / "again" / "commits" / last)
+    assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == first
+
+
 @pytest.mark.parametrize("every", [2, 20])
 def test_history_over_several_batches(spark, bookings, source, tmp_path, every):
     stream = stream_bookings(spark, source, files_per_trigger=1)
