@@ -19,6 +19,7 @@ from slotwise.operators import (
     scoring,
     training,
 )
+from slotwise.plans.materialize import materialize
 from slotwise.sources import artifacts
 from slotwise.sources.bookings import read_bookings, read_requests, write_scores
 
@@ -60,7 +61,7 @@ def train(
 
 def retain(spark: SparkSession, bookings: DataFrame, out: str, ref_date: str) -> None:
     """Write customer profiles once, then every retention report from them."""
-    scored = profiles.rfm_scores(profiles.customer_profiles(bookings, ref_date))
+    scored = profiles.rfm_scores(materialize(profiles.customer_profiles(bookings, ref_date)))
     scored.write.mode("overwrite").parquet(f"{out}/profiles")
     customers = spark.read.schema(scored.schema).parquet(f"{out}/profiles")
     reports = {
