@@ -1,8 +1,18 @@
 """One query per operator over its whole table, and its SQL where SQL can say it."""
 
-from slotwise.llm import substring_dedup
+from slotwise.llm import decontamination, html_extraction, lm_scoring, minhash_dedup, packing, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
+    "op4_packing": packing.op4_packing,
+    "op7_html_extraction": html_extraction.op7_html_extraction,
+    "op8_minhash_dedup": minhash_dedup.op8_minhash_dedup,
+    "op9_lm_scoring": lm_scoring.op9_lm_scoring,
+}
+ORACLE = {
+    "op1_substring_dedup": substring_dedup.SQL_1,
+    "op2_benchmark_decontamination": decontamination.SQL_2,
+    "op8_minhash_dedup": minhash_dedup.SQL_8,
+    "op9_lm_scoring": lm_scoring.SQL_9,
 }
-ORACLE = {"op1_substring_dedup": substring_dedup.SQL_1}
