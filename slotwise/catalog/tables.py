@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from slotwise.catalog.orders_view import map_bookings
 from slotwise.operators import profiles as pr
 from slotwise.operators.training import QUICK, Trained, train_all
-from slotwise.plans.materialize import written
-from slotwise.sources.orders_view import derive_bookings
+from slotwise.plans.materialize import shared_folder, written
+from slotwise.sources.bookings import read_bookings, write_bookings
 
 _made: dict[tuple, object] = {}
 
@@ -22,9 +23,15 @@ def _once(kind: str, spark: SparkSession, sf_dir: str, make: Callable[[str], obj
 
 
 def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bookings derived from all of ``orders``."""
+    """Bookings mapped from all of ``orders``, written and read back by the library's own source."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return _once("bookings", spark, sf_dir, lambda name: written(derive_bookings(orders), name))
+
+    def make(name: str) -> DataFrame:
+        path = f"{shared_folder(spark)}/{name}"
+        write_bookings(map_bookings(orders), path, mode="overwrite")
+        return read_bookings(spark, path)
+
+    return _once("bookings", spark, sf_dir, make)
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

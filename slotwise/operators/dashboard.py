@@ -11,7 +11,7 @@ from slotwise.functions import rules
 from slotwise.functions.expr import is_noshow, noshow_int, price
 from slotwise.operators.cleaning import date_range, filter_bookings
 from slotwise.operators.retention import _zero_filled
-from slotwise.plans.dims import small_rows
+from slotwise.plans.materialize import written
 
 C = F.col
 HIGH_RISK_ABOVE = 0.35
@@ -104,13 +104,14 @@ def branch_service_heatmap(df: DataFrame, min_n: int = 20) -> DataFrame:
 
 
 def branch_service_pivot(df: DataFrame, min_n: int = 20) -> DataFrame:
-    """One column per service, from the lowest to the highest mean rate."""
-    cells = branch_service_heatmap(df, min_n)
-    services = small_rows(cells.select("service_type", "service_mean").distinct(), 10_000)
-    if services is None:
-        raise ValueError("too many services for one column each; use branch_service_heatmap")
+    """One column per known service, from the lowest to the highest mean rate.
+
+    Other values of ``service_type`` stay in ``branch_service_heatmap``.
+    """
+    cells = written(branch_service_heatmap(df, min_n).filter(C("service_type").isin(*K.SERVICES)))
+    means = cells.select("service_type", "service_mean").distinct().collect()  # at most the known ones
     ranked = sorted(
-        (row for row in services if row["service_type"] is not None),
+        means,
         key=lambda row: (row["service_mean"] is None, row["service_mean"] or 0, row["service_type"]),
     )
     order = [row["service_type"] for row in ranked]
@@ -157,23 +158,17 @@ def booking_segment_distribution(df: DataFrame) -> DataFrame:
 
 def filter_options(df: DataFrame) -> DataFrame:
     """``option, value``: branches, services and the first and last booking date."""
-    pairs = F.inline(
-        F.array(
-            F.struct(F.lit("branch").alias("option"), C("branch").alias("value")),
-            F.struct(F.lit("service_type").alias("option"), C("service_type").alias("value")),
+    groups = written(
+        df.groupBy("branch", "service_type").agg(
+            F.to_date(F.min("booking_datetime")).cast("string").alias("first"),
+            F.to_date(F.max("booking_datetime")).cast("string").alias("last"),
         )
     )
-    names = df.select(pairs).distinct()
-    dates = df.agg(
-        F.to_date(F.min("booking_datetime")).cast("string").alias("first"),
-        F.to_date(F.max("booking_datetime")).cast("string").alias("last"),
-    ).select(
-        F.inline(
-            F.array(
-                F.struct(F.lit("first_date").alias("option"), C("first").alias("value")),
-                F.struct(F.lit("last_date").alias("option"), C("last").alias("value")),
-            )
-        )
+    names = groups.select(
+        F.inline(F.array(*[F.struct(F.lit(n).alias("option"), C(n).alias("value")) for n in ("branch", "service_type")]))
+    ).distinct()
+    dates = groups.agg(F.min("first").alias("first_date"), F.max("last").alias("last_date")).select(
+        F.inline(F.array(*[F.struct(F.lit(n).alias("option"), C(n).alias("value")) for n in ("first_date", "last_date")]))
     )
     return names.unionByName(dates)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from slotwise import constants as K
 from slotwise.functions.expr import any_of, is_noshow, noshow_int, price
@@ -29,7 +29,8 @@ def noshow_by(df: DataFrame, dims: list[str] | None = None) -> DataFrame:
     """``dimension, value, bookings, noshow_rate, pct`` for every dimension in one pass.
 
     Each row becomes one (dimension, value) pair per dimension; the partial
-    aggregation collapses these before the shuffle.
+    aggregation collapses these before the shuffle. The groups of a dimension add
+    up to all bookings.
     """
     dims = dims or ["service_type", "payment_method", "branch", "day_of_week"]
     pairs = F.inline(
@@ -40,7 +41,7 @@ def noshow_by(df: DataFrame, dims: list[str] | None = None) -> DataFrame:
             ]
         )
     )
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = F.sum("bookings").over(Window.partitionBy("dimension"))
     return (
         df.select(noshow_int().alias("noshow"), pairs)
         .groupBy("dimension", "value")

@@ -5,12 +5,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from slotwise import constants as K, schema
 from slotwise.functions.expr import half_even
-from slotwise.plans.materialize import materialize
+from slotwise.plans.materialize import materialize, written
 from slotwise.plans.ordered import TASK_ROWS, prior_sums
 
 C = F.col
@@ -30,26 +29,33 @@ def value_counts(df: DataFrame, names: list[str], kind: str) -> DataFrame:
     return melted.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def cell_counts(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
+    """``feature, number, text, n`` of numeric and categorical columns together, in one pass."""
+    no_number, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    cells = [
+        F.struct(F.lit(name).alias("feature"), C(name).cast("double").alias("number"), no_text.alias("text"))
+        for name in numeric
+    ] + [
+        F.struct(F.lit(name).alias("feature"), no_number.alias("number"), C(name).cast("string").alias("text"))
+        for name in categorical
+    ]
+    melted = df.select(F.inline(F.array(*cells))).filter(
+        C("text").isNotNull() | (C("number").isNotNull() & ~F.isnan("number"))
+    )
+    return melted.groupBy("feature", "number", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
 @dataclass(frozen=True)
 class Reference:
     """Value counts of the reference set, taken once and compared with many current sets."""
 
-    numeric: DataFrame
-    categorical: DataFrame
+    counts: DataFrame
     columns: tuple[str, ...]
 
 
-def _reference(df: DataFrame) -> Reference:
-    return Reference(
-        value_counts(df, _present(K.DRIFT_NUMERIC, df.columns), "double"),
-        value_counts(df, _present(K.DRIFT_CATEGORICAL, df.columns), "string"),
-        tuple(df.columns),
-    )
-
-
 def fit_reference(df: DataFrame) -> Reference:
-    lazy = _reference(df)
-    return Reference(materialize(lazy.numeric), materialize(lazy.categorical), lazy.columns)
+    numeric, categorical = (_present(n, df.columns) for n in (K.DRIFT_NUMERIC, K.DRIFT_CATEGORICAL))
+    return Reference(written(cell_counts(df, numeric, categorical)), tuple(df.columns))
 
 
 def _present(names: list[str], *column_sets) -> list[str]:
@@ -130,52 +136,55 @@ def chi2(
     return _chi2(_both_sides(ref, cur, names))
 
 
-def kolmogorov_p(distance: float, n_ref: int, n_cur: int) -> float:
+def kolmogorov_p(distance: Column, n_ref: Column, n_cur: Column) -> Column:
     """Two-sided p-value from the Kolmogorov series with the usual finite-size correction."""
-    root = math.sqrt(n_ref * n_cur / (n_ref + n_cur))
+    ref, cur = n_ref.cast("double"), n_cur.cast("double")
+    root = F.sqrt(ref * cur / (ref + cur))
     x = (root + 0.12 + 0.11 / root) * distance
-    if x < 0.2:
-        return 1.0
-    total = 2 * sum((-1) ** (k - 1) * math.exp(-2 * (k * x) ** 2) for k in range(1, 101))
-    return min(max(total, 0.0), 1.0)
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(100)),
+        F.lit(0.0),
+        lambda total, k: total + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * x * x),
+    )
+    return F.when(x < 0.2, 1.0).otherwise(F.least(F.greatest(2 * series, F.lit(0.0)), F.lit(1.0)))
+
 
+def chi2_p(statistic: Column, dof: Column) -> Column:
+    """Upper tail of the chi-square distribution for a whole number of degrees of freedom.
 
-def chi2_p(statistic: float, dof: int) -> float:
-    """Upper tail of the chi-square distribution for a whole number of degrees of freedom."""
-    if dof < 1:
-        return 1.0
+    The tail for ``dof`` is that for 1 or 2 plus one term for every two degrees
+    more; logarithms of the terms are carried, so that none overflows. The tail
+    for 1 is taken as 0 where it is below 1e-13.
+    """
     half = statistic / 2
-    if dof % 2 == 0:
-        term, total = math.exp(-half), math.exp(-half)
-        for i in range(1, dof // 2):
-            term *= half / i
-            total += term
-        return min(total, 1.0)
-    total = math.erfc(math.sqrt(half))
-    term = math.exp(-half) * math.sqrt(half) / math.gamma(1.5)
-    for i in range(1, (dof - 1) // 2 + 1):
-        total += term
-        term *= half / (i + 0.5)
-    return min(total, 1.0)
-
-
-@F.pandas_udf(T.DoubleType())
-def _p_value(
-    test: pd.Series, statistic: pd.Series, n_ref: pd.Series, n_cur: pd.Series, categories: pd.Series
-) -> pd.Series:
-    # one row per tested column
-    rows = zip(test, statistic, n_ref, n_cur, categories)
-    return pd.Series(
-        [
-            1.0
-            if ref == 0 or cur == 0
-            else kolmogorov_p(value, int(ref), int(cur))
-            if name == "KS"
-            else chi2_p(value, int(kinds) - 1)
-            for name, value, ref, cur, kinds in rows
-        ],
-        dtype="float64",
+    step = F.log(half)
+    odd = dof % 2 == 1
+
+    def grown(total: Column, log_term: Column) -> Column:
+        return F.struct(total.alias("total"), log_term.alias("log_term"))
+
+    below = F.aggregate(
+        F.sequence(F.lit(0), F.lit(200)),
+        F.struct(F.lit(0.0).alias("total"), F.lit(1.0).alias("term")),
+        lambda a, i: F.struct((a["total"] + a["term"]).alias("total"), (a["term"] * half / (i + 1.5)).alias("term")),
+        lambda a: a["total"],
+    )
+    one = F.when(half > 28, 0.0).otherwise(
+        1 - 2 / math.sqrt(math.pi) * F.sqrt(half) * F.exp(-half) * below
+    )
+    # the term i of the sum is half^(i + s) e^-half / gamma(i + s + 1), s 0 or -1/2
+    shift = F.when(odd, 0.5).otherwise(0.0)
+    first = F.when(odd, one).otherwise(0.0)
+    start = F.when(odd, -half + 0.5 * step - math.lgamma(1.5)).otherwise(-half)
+    terms = F.floor(dof / 2).cast("int")
+    numbers = F.when(terms > 0, F.sequence(F.lit(1), F.greatest(terms, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    total = F.aggregate(
+        numbers,
+        grown(first, start),
+        lambda a, i: grown(a["total"] + F.exp(a["log_term"]), a["log_term"] + step - F.log(i + shift)),
+        lambda a: a["total"],
     )
+    return F.when((dof < 1) | (statistic <= 0), 1.0).otherwise(F.least(total, F.lit(1.0)))
 
 
 def drift_report(
@@ -188,22 +197,30 @@ def drift_report(
 
     Columns missing on either side are not tested.
     """
-    known = reference if isinstance(reference, Reference) else _reference(reference)
-    sides = []
-    for names, counts, kind in (
-        (K.DRIFT_NUMERIC, known.numeric, "double"),
-        (K.DRIFT_CATEGORICAL, known.categorical, "string"),
-    ):
-        tested = _present(names, known.columns, current.columns)
-        sides.append(_both_sides(counts, value_counts(current, tested, kind), tested))
-    numeric = _ks(sides[0], task_rows).withColumns(
-        {"test": F.lit("KS"), "categories": F.lit(0).cast("long")}
-    )
-    categorical = _chi2(sides[1]).withColumn("test", F.lit("Chi-Square"))
-    p = _p_value("test", "statistic", "n_ref", "n_cur", "categories")
+    known = reference if isinstance(reference, Reference) else fit_reference(reference)
+    numeric, categorical = (
+        _present(names, known.columns, current.columns) for names in (K.DRIFT_NUMERIC, K.DRIFT_CATEGORICAL)
+    )
+    found = written(cell_counts(current, numeric, categorical))
+
+    def both(names: list[str], value: str) -> DataFrame:
+        sides = (
+            df.filter(C("feature").isin(*names)).select("feature", C(value).alias("value"), "n")
+            for df in (known.counts, found)
+        )
+        return _both_sides(*sides, names)
+
+    distances = _ks(both(numeric, "number"), task_rows).select(
+        "feature", "n_ref", "n_cur", "statistic", F.lit("KS").alias("test"),
+        kolmogorov_p(C("statistic"), C("n_ref"), C("n_cur")).alias("p"),
+    )
+    shares = _chi2(both(categorical, "text")).select(
+        "feature", "n_ref", "n_cur", "statistic", F.lit("Chi-Square").alias("test"),
+        chi2_p(C("statistic"), C("categories") - 1).alias("p"),
+    )
     return (
-        numeric.unionByName(categorical)
-        .withColumn("p", p)
+        distances.unionByName(shares)
+        .withColumn("p", F.when((C("n_ref") == 0) | (C("n_cur") == 0), 1.0).otherwise(C("p")))
         .select(
             "feature",
             "test",

@@ -8,17 +8,22 @@ re-reads files and nothing is recomputed in another order.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder set by ``spark.checkpoint.dir``; only local runs may fall back to a new one."""
+    """Folder set by ``spark.checkpoint.dir``, which all executors share.
+
+    Only where it is unset and driver and executors are one process, as in tests,
+    a folder of this machine takes its place.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
-            if not sc.master.startswith("local"):
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="slotwise-")
         sc.setCheckpointDir(folder)
@@ -40,12 +45,14 @@ def materialize_spread(df: DataFrame, key: str) -> DataFrame:
     return kept if kept.rdd.getNumPartitions() >= cores else materialize(kept.repartition(cores, key))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
+    Without a name the table gets a new one.
+
     Unlike a checkpoint the result is a normal scan: columns are pruned and
     filters reach the files.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}"
+    path = f"{shared_folder(df.sparkSession)}/{name or uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

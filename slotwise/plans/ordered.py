@@ -13,8 +13,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from slotwise.plans.materialize import materialize, written
+
 TASK_ROWS = 1_000_000
-MAX_HEAVY_KEYS = 50_000
 _SAMPLED_ROWS = 1000
 
 
@@ -29,18 +30,15 @@ def heavy_keys(df: DataFrame, keys: list[str], task_rows: int = TASK_ROWS) -> Da
     Candidates come from a sample in which such a key has about a thousand rows, so
     the usual answer, none, costs one pass over the key columns and a small shuffle.
     Only the candidates are counted exactly. The sample decides how work is split,
-    never which rows are kept.
-
-    If there should be more than ``MAX_HEAVY_KEYS`` of them, the heaviest are
-    returned; each of the rest then holds under 1/50,000 of the rows, which one
-    task can take.
+    never which rows are kept. However many there are, they stay a written table,
+    whose size decides how it is joined.
     """
     if task_rows > _SAMPLED_ROWS:
         fraction = _SAMPLED_ROWS / task_rows
         likely = _keys_above(df.sample(fraction, seed=42), keys, _SAMPLED_ROWS // 2)
         if likely is None:
             return None
-        df = df.join(F.broadcast(likely.drop("_key_rows")), keys, "left_semi")
+        df = df.join(likely.drop("_key_rows"), keys, "left_semi")
     return _keys_above(df, keys, task_rows)
 
 
@@ -50,8 +48,8 @@ def _keys_above(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
         .agg(F.count(F.lit(1)).alias("_key_rows"))
         .filter(F.col("_key_rows") > limit)
     )
-    rows = counts.orderBy(F.desc("_key_rows")).limit(MAX_HEAVY_KEYS).collect()
-    return df.sparkSession.createDataFrame(rows, counts.schema) if rows else None
+    kept = written(counts)
+    return None if kept.isEmpty() else kept
 
 
 def split_by_weight(
@@ -60,8 +58,7 @@ def split_by_weight(
     """(rows of ordinary keys, rows of heavy keys with ``_key_rows`` or None)."""
     if heavy is None:
         return df, None
-    small = F.broadcast(heavy)
-    return df.join(small, keys, "left_anti"), df.join(small, keys, "inner")
+    return df.join(heavy, keys, "left_anti"), df.join(heavy, keys, "inner")
 
 
 def _window_sums(df: DataFrame, keys, order, sums: dict[str, Column]) -> DataFrame:
@@ -75,11 +72,12 @@ def _window_sums(df: DataFrame, keys, order, sums: dict[str, Column]) -> DataFra
     )
 
 
-def _spread_sums(df: DataFrame, keys, order, sums: dict[str, Column]) -> DataFrame:
-    from slotwise.plans.materialize import materialize
-
+def _spread_sums(
+    df: DataFrame, keys, order, sums: dict[str, Column], rows: int, task_rows: int
+) -> DataFrame:
+    """``rows`` of ``df`` are cut into slices of at most about ``task_rows``."""
     spark = df.sparkSession
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // task_rows))
     terms = {f"_term_{name}": value for name, value in sums.items()}
     ranged = materialize(
         df.withColumns(terms)
@@ -109,7 +107,7 @@ def _spread_sums(df: DataFrame, keys, order, sums: dict[str, Column]) -> DataFra
     )
     summed = ranged.withColumns(
         {name: F.coalesce(F.sum(f"_term_{name}").over(local), F.lit(0)) for name in sums}
-    ).join(F.broadcast(offsets), ["_slice", *keys], "inner")
+    ).join(offsets, ["_slice", *keys], "inner")
     return summed.withColumns({name: F.col(name) + F.col(f"_offset_{name}") for name in sums}).drop(
         "_slice", "_seq", *terms, *[f"_offset_{name}" for name in sums]
     )
@@ -128,23 +126,30 @@ def prior_sums(
     be empty and must not be null. Columns named in ``sums`` are appended; no row is dropped.
     """
     if not keys:
-        spread = df.count() > task_rows
-        return _spread_sums(df, [], order, sums) if spread else _window_sums(df, [], order, sums)
-    return prior_sums_given(df, keys, order, sums, heavy_keys(df, keys, task_rows))
+        rows = df.count()
+        if rows <= task_rows:
+            return _window_sums(df, [], order, sums)
+        return _spread_sums(df, [], order, sums, rows, task_rows)
+    return prior_sums_given(df, keys, order, sums, heavy_keys(df, keys, task_rows), task_rows)
 
 
 def prior_sums_given(
-    df: DataFrame, keys: list[str], order: list, sums: dict[str, Column], heavy: DataFrame | None
+    df: DataFrame,
+    keys: list[str],
+    order: list,
+    sums: dict[str, Column],
+    heavy: DataFrame | None,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """``prior_sums`` with the heavy keys already found, for several sums over one table."""
-    light, heavy = split_by_weight(df, keys, heavy)
+    light, spread = split_by_weight(df, keys, heavy)
     result = _window_sums(light, keys, order, sums)
-    if heavy is None:
+    if spread is None:
         return result
     names = [*df.columns, *sums]
-    return result.select(names).unionByName(
-        _spread_sums(heavy.drop("_key_rows"), keys, order, sums).select(names)
-    )
+    rows = heavy.agg(F.sum("_key_rows")).first()[0]
+    spread = _spread_sums(spread.drop("_key_rows"), keys, order, sums, rows, task_rows)
+    return result.select(names).unionByName(spread.select(names))
 
 
 def with_position(
@@ -155,7 +160,8 @@ def with_position(
     The result of the ordinary keys stays hash partitioned on ``keys``, so a
     following aggregation by the same keys adds no exchange.
     """
-    light, heavy = split_by_weight(df, keys, heavy_keys(df, keys, task_rows))
+    heavy = heavy_keys(df, keys, task_rows)
+    light, heavy_rows = split_by_weight(df, keys, heavy)
     per_key = Window.partitionBy(*keys)
     result = light.withColumns(
         {
@@ -166,8 +172,9 @@ def with_position(
     if heavy is None:
         return result
     names = [*df.columns, "position", "key_rows"]
+    rows = heavy.agg(F.sum("_key_rows")).first()[0]
     spread = (
-        _spread_sums(heavy, keys, order, {"position": F.lit(1)})
+        _spread_sums(heavy_rows, keys, order, {"position": F.lit(1)}, rows, task_rows)
         .withColumn("position", F.col("position").cast("long") + 1)
         .withColumnRenamed("_key_rows", "key_rows")
     )
