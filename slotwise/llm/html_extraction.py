@@ -236,11 +236,12 @@ def main_text(html: str) -> tuple[str, int, int]:
         inside[c] = inside[parser.containers[c][0]]
     kept = free & inside[[b[3] for b in blocks]]
     if parser.containers[region][1] in ("page", "html", "body"):
-        # no element of its own: from the first to the last content block, without lists of links
+        # no element of its own: blocks in no other element, and from the first to the last
+        # content block, but no lists of links
         places = np.flatnonzero(content)
-        span = np.zeros(len(blocks), bool)
-        span[places[0] : places[-1] + 1] = True
-        kept &= span & (content | (linked < 0.5))
+        near = np.array([b[3] == region for b in blocks])
+        near[places[0] : places[-1] + 1] = True
+        kept &= content | near & (linked < 0.5)
     return "\n".join(b[0] for b, keep in zip(blocks, kept, strict=True) if keep), len(blocks), int(kept.sum())
 
 
