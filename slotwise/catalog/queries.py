@@ -557,6 +557,34 @@ def soft_vote(spark, sf_dir):
     return rounded(df.select("booking_id", training.soft_vote(votes).alias("score")))
 
 
+def _three_scores(spark, sf_dir) -> DataFrame:
+    """``model_name, label, score`` of three scores that need no model."""
+    df = dashboard.with_manual_risk(row_features(tables.bookings(spark, sf_dir)))
+    names = ["risk_score", "risk_score_v2", "noshow_intensity"]
+    each = F.array(*[F.struct(F.lit(n).alias("model_name"), F.round(C(n), 6).alias("score")) for n in names])
+    return features.add_target(df).select("label", F.inline(each))
+
+
+@query
+def score_comparison(spark, sf_dir):
+    """The comparison report over three scores, written and read back."""
+    path = _folder(spark, sf_dir, "score-comparison")
+    artifacts.write_model_comparison(metrics.compare_models(_three_scores(spark, sf_dir)), path)
+    return rounded(spark.read.option("header", True).option("inferSchema", True).csv(path))
+
+
+@query
+def score_calibration(spark, sf_dir):
+    """The calibration report over three scores, written and read back."""
+    path = _folder(spark, sf_dir, "score-calibration")
+    artifacts.write_calibration(
+        metrics.calibration_curve(_three_scores(spark, sf_dir), keys=["model_name"]), path
+    )
+    return rounded(
+        spark.read.schema("model_name string, bin int, fraction_positives double, mean_predicted double").json(path)
+    )
+
+
 # --- drift ----------------------------------------------------------------------
 
 
@@ -603,10 +631,15 @@ def _flat(log: DataFrame) -> DataFrame:
 
 @query
 def stratified_folds(spark, sf_dir):
+    """Every booking with its fold of five."""
     df = features.add_target(tables.bookings(spark, sf_dir))
-    return training.stratified_folds(df).groupBy("fold", "label").agg(
-        F.count(F.lit(1)).alias("bookings")
-    )
+    return training.stratified_folds(df).select("booking_id", "label", "fold")
+
+
+@query
+def sampled_rows(spark, sf_dir):
+    """The 5,000 bookings that come first in the order of their digests."""
+    return attribution.sample_rows(tables.bookings(spark, sf_dir)).select("booking_id", "outcome")
 
 
 @query
@@ -659,24 +692,23 @@ def feature_importance(spark, sf_dir):
     ).limit(15)
 
 
-def _attribution_sample(spark, sf_dir) -> DataFrame:
-    """Features of the attribution sample; drawn from all bookings before they are computed."""
+def _attribution_frame(spark, sf_dir) -> DataFrame:
+    """Features of all bookings."""
     model = tables.trained(spark, sf_dir)
-    sample = attribution.sample_rows(tables.bookings(spark, sf_dir))
-    full = features.full_features(sample, model.staff_rates, model.label_maps, model.overall)
+    full = features.full_features(tables.bookings(spark, sf_dir), model.staff_rates, model.label_maps, model.overall)
     return features.feature_matrix(full).select("booking_id", "label", "features")
 
 
 @query
 def permutation_importance(spark, sf_dir):
     model = tables.trained(spark, sf_dir).models[training.FOREST]
-    return attribution.permutation_importance(_attribution_sample(spark, sf_dir), model)
+    return attribution.permutation_importance(_attribution_frame(spark, sf_dir), model)
 
 
 @query
 def contribution_importance(spark, sf_dir):
     path = _folder(spark, sf_dir, "feature-importance")
-    found = attribution.attribute(tables.trained(spark, sf_dir), _attribution_sample(spark, sf_dir))
+    found = attribution.attribute(tables.trained(spark, sf_dir), _attribution_frame(spark, sf_dir))
     artifacts.write_feature_importance(found.filter("is_primary"), path)
     return found
 

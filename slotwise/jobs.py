@@ -47,7 +47,7 @@ def train(
         )
 
     known = bookings.filter(F.col("outcome").isNotNull())
-    sample = features.feature_matrix(full(attribution.sample_rows(known)))
+    sample = features.feature_matrix(full(known))
     frame = sample.select("booking_id", "label", "features")
     for place, name in enumerate(attribution.best_tree_models(trained)):
         found = attribution.contribution_importance(frame, trained.models[name])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from slotwise.plans.dims import left_lookup
-from slotwise.plans.materialize import materialize
+from slotwise.plans.materialize import written
 from slotwise.plans.ordered import TASK_ROWS, prior_sums
 
 C = F.col
@@ -19,7 +19,7 @@ C = F.col
 def score_counts(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Positives and negatives per distinct score, written once for the jobs that follow."""
     positive = C("label") == 1
-    return materialize(
+    return written(
         scored.groupBy(*(keys or []), "score").agg(
             F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
         )
@@ -30,10 +30,11 @@ def roc_auc(
     scored: DataFrame, keys: list[str] | None = None, task_rows: int = TASK_ROWS
 ) -> DataFrame:
     """``roc_auc`` (per key): chance that a positive outranks a negative, ties count half."""
-    return _auc(score_counts(scored, keys), keys or [], task_rows)
+    return auc_of_counts(score_counts(scored, keys), keys or [], task_rows)
 
 
-def _auc(counts: DataFrame, keys: list[str], task_rows: int) -> DataFrame:
+def auc_of_counts(counts: DataFrame, keys: list[str], task_rows: int = TASK_ROWS) -> DataFrame:
+    """``roc_auc`` from ``pos`` and ``neg`` per score."""
     below = prior_sums(counts, keys, ["score"], {"neg_below": C("neg")}, task_rows)
     wins = C("pos") * (C("neg_below") + C("neg") / 2)
     totals = below.groupBy(*keys).agg(
@@ -159,7 +160,7 @@ def compare_models(scored: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """
     key = ["model_name"]
     counts = score_counts(scored, key)
-    limits = left_lookup(_auc(counts, key, task_rows), _threshold(counts, key, task_rows), key)
+    limits = left_lookup(auc_of_counts(counts, key, task_rows), _threshold(counts, key, task_rows), key)
     tuned, default = C("score") >= C("threshold"), C("score") >= 0.5
     cells = (
         left_lookup(counts, limits, key)
@@ -180,7 +181,7 @@ def compare_models(scored: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
 def binary_metrics(scored: DataFrame, threshold: float, task_rows: int = TASK_ROWS) -> DataFrame:
     """AUC and the metrics at a threshold, from one pass over the scored rows."""
     counts = score_counts(scored)
-    auc = _auc(counts, [], task_rows).scalar()
+    auc = auc_of_counts(counts, [], task_rows).scalar()
     row = counts.agg(*_cells(C("score") >= threshold)).select(*_ratios())
     return row.withColumn("roc_auc", auc)
 

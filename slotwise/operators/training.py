@@ -30,6 +30,7 @@ from slotwise.operators import features as fx
 from slotwise.operators import metrics
 from slotwise.plans.dims import bounded, left_lookup
 from slotwise.plans.materialize import materialize, materialize_spread
+from slotwise.plans.ordered import prior_sums
 
 C = F.col
 
@@ -86,13 +87,19 @@ def add_weight(df: DataFrame) -> DataFrame:
 
 
 def stratified_folds(df: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
-    """Add ``fold`` from a hash of the booking: no shuffle, same answer on every run.
+    """Add ``fold``: the rows of each label, numbered in a digest's order, are dealt in turn.
 
-    The hash does not depend on the label, so each label spreads evenly.
+    Folds of a label differ by at most one row, and every run deals alike. Rows
+    without label are dealt as a label of their own.
     """
-    return df.withColumn(
-        "fold", F.pmod(F.xxhash64("booking_id", F.lit(seed)), F.lit(k)).cast("int")
+    ordered = df.withColumns(
+        {
+            "_stratum": F.coalesce(C("label").cast("double"), F.lit(-1.0)),
+            "_order": F.md5(F.concat_ws("|", "booking_id", F.lit(seed))),
+        }
     )
+    numbered = prior_sums(ordered, ["_stratum"], ["_order", "booking_id"], {"_number": F.lit(1).cast("long")})
+    return numbered.withColumn("fold", (C("_number") % k).cast("int")).drop("_stratum", "_order", "_number")
 
 
 # --- learners ---------------------------------------------------------------
