@@ -99,9 +99,10 @@ def fitted_params(spark, sf_dir):
         spark, path, features.feature_list(), features.global_rate(tables.bookings(spark, sf_dir))
     )
     params = artifacts.load_params(spark, path)
-    row = (len(params["feature_names"]), len(params["payment_risk"]), params["global_rate"])
+    payments = ", ".join(f"{k}={v}" for k, v in sorted(params["payment_risk"].items()))
+    row = ("|".join(params["feature_names"]), payments, params["global_rate"])
     return rounded(
-        spark.createDataFrame([row], "features int, payment_methods int, global_rate double")
+        spark.createDataFrame([row], "features string, payment_methods string, global_rate double")
     )
 
 
@@ -215,9 +216,7 @@ def label_maps(spark, sf_dir):
 
 def _all_features(spark, sf_dir) -> DataFrame:
     df = tables.bookings(spark, sf_dir)
-    return features.full_features(
-        df, features.fit_staff_rates(df), features.fit_label_maps(df), features.global_rate(df)
-    )
+    return features.full_features(df, *features.fit_tables(df))
 
 
 @query
@@ -228,12 +227,12 @@ def features_fitted(spark, sf_dir):
 
 @query
 def feature_matrix(spark, sf_dir):
-    matrix = features.feature_matrix(_all_features(spark, sf_dir))
-    values = vector_to_array("features")
-    total = F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
-    return rounded(
-        matrix.select("booking_id", F.size(values).alias("width"), total.alias("total")), 4
+    """Every place of the vector as a column of its own."""
+    matrix = features.feature_matrix(_all_features(spark, sf_dir)).select(
+        "booking_id", vector_to_array("features").alias("x")
     )
+    places = [C("x")[i].alias(f"x{i:02d}") for i in range(len(features.feature_list()))]
+    return rounded(matrix.select("booking_id", F.size("x").alias("width"), *places), 5)
 
 
 @query

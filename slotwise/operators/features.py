@@ -10,6 +10,7 @@ from slotwise.functions.expr import noshow_int
 from slotwise.functions.features import row_features
 from slotwise.operators.cleaning import clean_value, require_features
 from slotwise.plans.dims import small_rows, with_pairs, with_value
+from slotwise.plans.materialize import written
 from slotwise.plans.ordered import prior_sums
 
 
@@ -72,6 +73,29 @@ def fit_label_maps(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return prior_sums(distinct, ["column_name"], ["value"], {"label": F.lit(1).cast("long")})
 
 
+def fit_tables(df: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """Staff rates, label maps and the overall share, all from one pass over ``df``.
+
+    Every categorical value is counted with its no-shows, once and written; the
+    groups of any one column add up to all rows.
+    """
+    cells = F.array(
+        *[F.struct(F.lit(n).alias("column_name"), F.col(n).cast("string").alias("value")) for n in K.CATEGORICAL]
+    )
+    counts = written(
+        df.select("outcome", F.inline(cells)).groupBy("column_name", "value").agg(
+            F.count("outcome").alias("total"),
+            F.sum(noshow_int()).cast("long").alias("noshows"),
+            F.count(F.lit(1)).alias("rows"),
+        )
+    )
+    staff = counts.filter("column_name = 'staff_id'").withColumnRenamed("value", "staff_id")
+    share = staff.agg(F.sum("noshows") / F.sum("rows")).first()[0]
+    values = counts.select("column_name", F.coalesce("value", F.lit("nan")).alias("value")).distinct()
+    labels = prior_sums(values, ["column_name"], ["value"], {"label": F.lit(1).cast("long")})
+    return rates_from_counts(staff), labels, K.DEFAULT_GLOBAL_RATE if share is None else share
+
+
 def add_staff_rate(df: DataFrame, staff_rates: DataFrame | None, overall: float) -> DataFrame:
     """Rate of the staff member, else the overall rate."""
     if staff_rates is None:

@@ -28,7 +28,7 @@ from slotwise import constants as K
 from slotwise.functions.features import row_features
 from slotwise.operators import features as fx
 from slotwise.operators import metrics
-from slotwise.plans.dims import bounded, left_lookup
+from slotwise.plans.dims import bounded
 from slotwise.plans.materialize import materialize, materialize_spread
 from slotwise.plans.ordered import prior_sums
 
@@ -152,11 +152,14 @@ def search_space(estimator: GBTClassifier, s: Settings) -> list[dict]:
     return grids
 
 
-def search_boosted(frame: DataFrame, s: Settings) -> tuple[GBTClassifier, float]:
-    """Best parameters by mean AUC over the folds in ``fold``; returns (estimator, AUC).
+def search_boosted(
+    folds: list[tuple[DataFrame, DataFrame]], s: Settings
+) -> tuple[GBTClassifier, float]:
+    """Best parameters by mean AUC over ``fold_tables``; returns (estimator, AUC).
 
-    Unlike ``CrossValidator`` this does not refit the winner on all rows, which the
-    caller does later with its own features.
+    A trial's training rows carry staff rates of those rows alone, so nothing of
+    the held-out labels reaches it. Unlike ``CrossValidator`` this does not refit
+    the winner on all rows, which the caller does later with its own features.
     """
     base = GBTClassifier(weightCol="weight", seed=s.seed)
     grids = search_space(base, s)
@@ -164,11 +167,11 @@ def search_boosted(frame: DataFrame, s: Settings) -> tuple[GBTClassifier, float]
 
     def held_out_auc(trial: tuple[int, int]) -> float:
         number, fold = trial
-        model = base.fit(frame.filter(C("fold") != fold), grids[number])
-        return evaluator.evaluate(model.transform(frame.filter(C("fold") == fold)))
+        train, held_out = folds[fold]
+        return evaluator.evaluate(base.fit(train, grids[number]).transform(held_out))
 
     trials = [(number, fold) for number in range(len(grids)) for fold in range(s.folds)]
-    aucs = _in_parallel(frame, held_out_auc, trials, s.parallelism)
+    aucs = _in_parallel(folds[0][0], held_out_auc, trials, s.parallelism)
     means = [sum(aucs[i * s.folds : (i + 1) * s.folds]) / s.folds for i in range(len(grids))]
     best = max(range(len(grids)), key=means.__getitem__)
     return base.copy(grids[best]), means[best]
@@ -242,14 +245,14 @@ def full_frame(p: Prepared) -> DataFrame:
     return _with_vector(p, p.counts)
 
 
-def out_of_fold_frame(p: Prepared, s: Settings) -> DataFrame:
-    """One frame for the parameter search: each row's staff rate leaves its own fold out."""
-    per_fold = [
-        fx.rates_from_counts(p.counts.filter(C("fold") != fold)).withColumn("fold", F.lit(fold))
-        for fold in range(s.folds)
-    ]
-    rated = left_lookup(p.table, reduce(DataFrame.unionByName, per_fold), ["staff_id", "fold"])
-    return materialize(_joined(rated.fillna(p.overall, ["staff_noshow_rate"])))
+def fold_tables(p: Prepared, s: Settings) -> list[tuple[DataFrame, DataFrame]]:
+    """``fold_frames`` of every fold, each written once for all the fits that read it."""
+    tables = []
+    for fold in range(s.folds):
+        train, held_out = fold_frames(p, fold)
+        kept = materialize(train.unionByName(held_out))
+        tables.append((kept.filter(C("fold") != fold), kept.filter(C("fold") == fold)))
+    return tables
 
 
 # --- scores -------------------------------------------------------------------
@@ -285,11 +288,12 @@ def fit_all(
     return dict(zip(names, models))
 
 
-def cv_predict(p: Prepared, estimators: dict[str, Estimator], s: Settings) -> DataFrame:
+def cv_predict(
+    folds: list[tuple[DataFrame, DataFrame]], estimators: dict[str, Estimator], s: Settings
+) -> DataFrame:
     """``booking_id, label, fold`` and one held-out score column per model."""
     parts = []
-    for fold in range(s.folds):
-        train, held_out = fold_frames(p, fold)
+    for train, held_out in folds:
         models = fit_all(estimators, train, s.parallelism)
         parts.append(
             add_scores(held_out, models).select(
@@ -332,8 +336,10 @@ class Trained:
     feature_names: list[str] = field(default_factory=fx.feature_list)
 
 
-def estimators(p: Prepared, s: Settings) -> dict[str, Estimator]:
-    searched, _ = search_boosted(out_of_fold_frame(p, s), s)
+def estimators(
+    p: Prepared, folds: list[tuple[DataFrame, DataFrame]], s: Settings
+) -> dict[str, Estimator]:
+    searched, _ = search_boosted(folds, s)
     return {
         LOGISTIC: logistic(p.weight_total, s),
         FOREST: forest(s),
@@ -356,8 +362,9 @@ def train_all(df: DataFrame, s: Settings = Settings()) -> Trained:
     held-out scores, so the ensemble needs no fits of its own.
     """
     p = prepare(df, s)
-    candidates = estimators(p, s)
-    oof = cv_predict(p, candidates, s)
+    folds = fold_tables(p, s)
+    candidates = estimators(p, folds, s)
+    oof = cv_predict(folds, candidates, s)
     singles = metrics.compare_models(long_scores(oof, MODEL_NAMES)).collect()
     in_order = sorted(singles, key=lambda row: MODEL_NAMES.index(row["model_name"]))
     members = top_models(in_order)
