@@ -8,11 +8,10 @@ similarity. Five bins make a band; a pair at 0.75 misses all 51 bands once in a
 million.
 
 Documents with the same set are one class, whose smallest row stands for it. In
-each bucket every member is linked with the bucket's smallest row only, and
-such a link counts when the full sets confirm it. Buckets whose members then
-still lie in different components go to an exact second step: their sets are
-joined by prefixes in the order of rarity, which misses no pair, and only pairs
-of different components are compared.
+each bucket every member is linked with a few centers only, the least rows in
+eight fixed orders, and such a link counts when the full sets confirm it. In buckets whose members then
+still lie in different components a link may have been missed; there the pairs of
+different components are compared as well, each pair once.
 """
 
 from __future__ import annotations
@@ -27,6 +26,8 @@ from slotwise.llm.arrays import BASE_1, SPACES, Words, binary_rows, mix, pieces
 from slotwise.llm.tables import numbered, read, without, write_out
 
 SHINGLE, BANDS, ROWS = 5, 51, 5
+STARS = 8
+MAP_BITS = 1024
 OUT = ("n_shingles", "component_id", "kept", "first_row")
 
 
@@ -73,6 +74,18 @@ def one_permutation(hashes: np.ndarray, bounds: np.ndarray, bins: int) -> np.nda
     return out.reshape(n, bins)
 
 
+def parity_maps(hashes: np.ndarray, bounds: np.ndarray, bits: int) -> np.ndarray:
+    """Per set, which of ``bits`` cells hold an odd number of its items, as longs.
+
+    Where the maps of two sets differ, so do the sets: the number of differing
+    cells is at most that of the items in one set only.
+    """
+    n = len(bounds) - 1
+    cell = np.repeat(np.arange(n), np.diff(bounds)) * bits + (mix(hashes) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(n, bits // 64)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         words = Words(batch.column("text"), SPACES, lower=True)
@@ -89,13 +102,17 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows:
         lists = pa.ListArray.from_arrays(
             pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(keys)
         )
+        maps = parity_maps(hashes, bounds, MAP_BITS)
+        maps = pa.ListArray.from_arrays(
+            pa.array(np.arange(len(n) + 1, dtype=np.int32) * maps.shape[1]), pa.array(maps.ravel())
+        )
         yield pa.RecordBatch.from_arrays(
             [
                 *batch.columns, pa.array(n, pa.int64()),
                 pa.array((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)),
-                pa.array((cross[bounds[1:]] - cross[bounds[:-1]]).view(np.int64)), lists,
+                pa.array((cross[bounds[1:]] - cross[bounds[:-1]]).view(np.int64)), lists, maps,
             ],
-            [*batch.schema.names, "n_shingles", "_d1", "_d2", "_keys"],
+            [*batch.schema.names, "n_shingles", "_d1", "_d2", "_keys", "_map"],
         )
 
 
@@ -157,68 +174,58 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def prefix_pairs(sets: DataFrame, parts: DataFrame, share: int) -> DataFrame:
-    """Pairs of different components among ``sets`` that can reach ``share`` percent.
+def open_pairs(members: DataFrame, keys: DataFrame, roots: DataFrame, share: int) -> DataFrame:
+    """Pairs of different components that meet in a bucket, each of them once.
 
-    Two such sets share one of the n - ceil(share n) + 1 rarest shingles of
-    each, in any common order of the shingles; a shingle of one set only is
-    left out after it has taken its place.
+    A bucket is open while its members lie in different components. A pair is
+    taken in the first band it shares, which the band keys of both tell, and
+    only if the parity maps leave room for enough items in common, which loses
+    no pair that is similar enough.
     """
-    items = write_out(
-        sets.select("_rid", (F.length("_set") / 8).cast("long").alias("_n"), "_set")
-        .mapInArrow(_spread, "_rid long, _n long, _h long")
-    )
-    often = items.groupBy("_h").agg(F.count("*").alias("_df"))
-    ranked = (
-        items.join(often, "_h").groupBy("_rid", "_n")
-        .agg(F.sort_array(F.collect_list(F.struct("_df", "_h"))).alias("_all"))
-        .select("_rid", "_n", F.expr(f"slice(_all, 1, cast(_n - ceil({share} * _n / 100) + 1 as int))").alias("_rare"))
-        .select("_rid", "_n", F.explode(F.expr("filter(_rare, x -> x._df > 1)")).alias("_x"))
-        .select("_rid", "_n", F.col("_x._h").alias("_h"))
-        .join(parts, "_rid")
-    )
-    other = ranked.select(
-        F.col("_rid").alias("_b"), F.col("_n").alias("_m"), F.col("_root").alias("_other"), "_h"
+    placed = members.select("_key", "_rid").join(roots, "_rid", "left").withColumn("_root", F.coalesce("_root", "_rid"))
+    mixed = placed.groupBy("_key").agg(F.min("_root").alias("_l"), F.max("_root").alias("_g")).where("_l < _g")
+    rows = write_out(
+        placed.join(mixed.select("_key"), "_key", "left_semi").join(keys, "_rid")
+        .select("_key", "_rid", "_root", "n_shingles", "_keys", "_map")
     )
+    other = rows.select("_key", *[F.col(c).alias(f"{c}_b") for c in rows.columns if c != "_key"])
     return (
-        ranked.withColumnRenamed("_rid", "_a").join(other, "_h")
-        .where(f"_a > _b and _root <> _other and 100 * least(_n, _m) >= {share} * greatest(_n, _m)")
-        .select("_a", "_b").distinct()
+        rows.join(other, "_key")
+        .where(
+            "_rid > _rid_b and _root <> _root_b"
+            f" and 100 * least(n_shingles, n_shingles_b) >= {share} * greatest(n_shingles, n_shingles_b)"
+            f" and {100 + share} * aggregate(zip_with(_map, _map_b, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)"
+            f" <= {100 - share} * (n_shingles + n_shingles_b)"
+            " and element_at(filter(zip_with(_keys, _keys_b, (x, y) -> if(x = y, x, null)), x -> x is not null), 1) = _key"
+        )
+        .select(F.col("_rid").alias("_a"), F.col("_rid_b").alias("_b"))
     )
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per shingle."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            hashes = np.frombuffer(batch.column("_set")[i].as_buffer(), np.int64)
-            rid = np.full(len(hashes), batch.column("_rid")[i].as_py())
-            size = np.full(len(hashes), batch.column("_n")[i].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(size), pa.array(hashes)], ["_rid", "_n", "_h"])
-
-
 def link_classes(spark: SparkSession, nodes: DataFrame, sets_of, share: int) -> DataFrame:
     """Root of every linked row of ``nodes`` (``_rid``, ``n_shingles``, ``_keys``)."""
-    rows = nodes.select("_rid", "n_shingles", F.explode("_keys").alias("_key"))
-    centers = (
-        rows.groupBy("_key").agg(F.min(F.struct("_rid", "n_shingles")).alias("_c"), F.count("*").alias("_k"))
-        .where("_k > 1").select("_key", "_c")
-    )
+    rows = nodes.select("_rid", F.explode("_keys").alias("_key"))
+    shared = rows.groupBy("_key").agg(F.count("*").alias("_k")).where("_k > 1").select("_key")
     members = write_out(
-        rows.join(centers, "_key").select("_key", "_rid", "n_shingles", F.col("_c._rid").alias("_center"), F.col("_c.n_shingles").alias("_m"))
+        rows.join(shared, "_key", "left_semi").join(nodes.select("_rid", "n_shingles"), "_rid")
+    )
+    # the least row of a bucket in each of several orders is the center of a star
+    order = [F.col("_rid"), *[F.xxhash64(F.lit(i), "_rid") for i in range(1, STARS)]]
+    centers = members.groupBy("_key").agg(
+        *[F.min(F.struct(o.alias("o"), "_rid", "n_shingles")).alias(f"_c{i}") for i, o in enumerate(order)]
+    ).select(
+        "_key",
+        F.array_distinct(F.array(*[F.struct(f"_c{i}._rid", f"_c{i}.n_shingles") for i in range(STARS)])).alias("_centers"),
     )
     sets = write_out(sets_of(members.select("_rid").distinct()))
     pairs = (
-        members.where(f"_rid <> _center and 100 * least(n_shingles, _m) >= {share} * greatest(n_shingles, _m)")
-        .select(F.col("_rid").alias("_a"), F.col("_center").alias("_b")).distinct()
+        members.join(centers, "_key").select("_rid", "n_shingles", F.explode("_centers").alias("_c"))
+        .where(f"_rid <> _c._rid and 100 * least(n_shingles, _c.n_shingles) >= {share} * greatest(n_shingles, _c.n_shingles)")
+        .select(F.greatest("_rid", "_c._rid").alias("_a"), F.least("_rid", "_c._rid").alias("_b")).distinct()
     )
     links = write_out(confirm(pairs, sets, share))
     roots = write_out(components(links))
-    placed = members.select("_key", "_rid").join(roots, "_rid", "left").withColumn("_root", F.coalesce("_root", "_rid"))
-    open_keys = placed.groupBy("_key").agg(F.min("_root").alias("_l"), F.max("_root").alias("_g")).where("_l < _g")
-    left = placed.join(open_keys.select("_key"), "_key", "left_semi").select("_rid", "_root").distinct()
-    left = write_out(left)
-    more = confirm(prefix_pairs(sets.join(left.select("_rid"), "_rid", "left_semi"), left, share), sets, share)
+    more = confirm(open_pairs(members, nodes.select("_rid", "n_shingles", "_keys", "_map"), roots, share), sets, share)
     more = write_out(more)
     if more.isEmpty():
         return roots
@@ -240,7 +247,7 @@ def near_duplicates(docs: DataFrame, share: int = 75, size: int = SHINGLE) -> Da
     spark = docs.sparkSession
     base = without(docs, *OUT)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields]
-    schema = ", ".join([*fields, "n_shingles long, _d1 long, _d2 long, _keys array<long>"])
+    schema = ", ".join([*fields, "n_shingles long, _d1 long, _d2 long, _keys array<long>, _map array<long>"])
     signed = base.mapInArrow(lambda batches: _signatures(batches, size, BANDS, ROWS), schema)
     rows = numbered(signed, "_rid")
     narrow = rows.where("n_shingles > 0")
@@ -250,7 +257,7 @@ def near_duplicates(docs: DataFrame, share: int = 75, size: int = SHINGLE) -> Da
         narrow.select("_rid", *same).join(classes, same).select("_rid", "_stand")
     )
     doubles = stand.where("_rid <> _stand").select("_rid")
-    nodes = narrow.select("_rid", "n_shingles", "_keys").join(doubles, "_rid", "left_anti")
+    nodes = narrow.select("_rid", "n_shingles", "_keys", "_map").join(doubles, "_rid", "left_anti")
 
     def sets_of(rids: DataFrame) -> DataFrame:
         texts = rows.select("_rid", "text").join(rids, "_rid", "left_semi")
@@ -277,7 +284,7 @@ def near_duplicates(docs: DataFrame, share: int = 75, size: int = SHINGLE) -> Da
     )
     alone = F.col("_in").isNull()
     return (
-        rows.drop("_d1", "_d2", "_keys").join(placed, "_rid", "left")
+        rows.drop("_d1", "_d2", "_keys", "_map").join(placed, "_rid", "left")
         .withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("_least")))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
         .withColumn("first_row", alone | (F.col("_rid") == F.col("_row")))
