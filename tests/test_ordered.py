@@ -122,3 +122,19 @@ def test_heavy_keys_from_a_sample(spark):
     df = spark.range(30_000).withColumn("k", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")))
     assert [tuple(r) for r in heavy_keys(df, ["k"], 5_000).collect()] == [(0, 10_000)]
     assert heavy_keys(df, ["k"], 20_000) is None
+
+
+def test_more_slices_than_shuffle_partitions(spark):
+    """One key cut into slices of 50 rows, many more than the setting has."""
+    df = spark.range(2000).select(F.lit("hot").alias("k"), F.col("id").alias("t"))
+    assert int(spark.conf.get("spark.sql.shuffle.partitions")) < 2000 // 50
+    summed = prior_sums(df, ["k"], ["t"], {"n": F.lit(1).cast("long")}, 50)
+    assert [r["n"] for r in summed.orderBy("t").collect()] == list(range(2000))
+
+
+def test_every_key_may_be_heavy(spark):
+    """Three hundred heavy keys and no light one."""
+    df = spark.range(6000).select((F.col("id") % 300).alias("k"), F.col("id").alias("t"))
+    assert heavy_keys(df, ["k"], 10).count() == 300
+    summed = prior_sums(df, ["k"], ["t"], {"n": F.lit(1).cast("long")}, 10)
+    assert summed.filter(F.col("n") != F.floor(F.col("t") / 300)).count() == 0 and summed.count() == 6000
