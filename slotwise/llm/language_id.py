@@ -187,11 +187,11 @@ def identify(docs: DataFrame, model: Languages, keep_text: bool = True) -> DataF
     its centroid keeps the nearest language and is marked rejected. Equal texts
     get equal results; input columns with those names give way.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 64 KB per language
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # 64 KB per language
     base = without(docs, *OUT)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields]
     out = base.mapInArrow(
-        lambda b: _predict(b, shared.value), ", ".join([*fields, "lang_pred string, score double, rejected boolean"])
+        lambda b: _predict(b, Languages(**shared.value)), ", ".join([*fields, "lang_pred string, score double, rejected boolean"])
     )
     return out if keep_text else out.drop("text")
 

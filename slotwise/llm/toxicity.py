@@ -413,8 +413,8 @@ def fit(docs: DataFrame, labelled: DataFrame) -> ToxicityModel:
     wanted = np.zeros(2**MAP_BITS, bool)
     wanted[_slots(hashes)] = True
     model = ToxicityModel(costs, hashes, weights, wanted, np.zeros(6))
-    shared = spark.sparkContext.broadcast(model)
-    seen = model_half.mapInArrow(lambda b: _evidence_rows(b, shared.value), "x array<double>, toxic long").collect()
+    shared = spark.sparkContext.broadcast(vars(model))
+    seen = model_half.mapInArrow(lambda b: _evidence_rows(b, ToxicityModel(**shared.value)), "x array<double>, toxic long").collect()
     if seen:
         model.logistic = logistic_fit(np.array([r["x"] for r in seen]), np.array([r["toxic"] for r in seen], float))
     return model
@@ -436,10 +436,10 @@ def score(docs: DataFrame, model: ToxicityModel, keep_text: bool = True) -> Data
     A null text is scored as an empty one. Equal texts get equal scores; input
     columns with those names give way.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # 4 MB, whatever the input
     base = without(docs, *OUT)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields]
-    out = base.mapInArrow(lambda b: _scored(b, shared.value), ", ".join([*fields, "score double, predicted int"]))
+    out = base.mapInArrow(lambda b: _scored(b, ToxicityModel(**shared.value)), ", ".join([*fields, "score double, predicted int"]))
     return out if keep_text else out.drop("text")
 
 
