@@ -75,7 +75,7 @@ def next_keys(keys: DataFrame) -> DataFrame:
     )
     return (
         ranged.selectExpr("_k", "n_chars", "_p", "lead(_k) over (partition by _p order by _i) as _follows")
-        .join(F.broadcast(around), "_p")  # one row per 50,000, 40 bytes each
+        .join(around, "_p")
         .select("_k", "n_chars", F.coalesce("_follows", "_beyond").alias("_next"))
     )
 
@@ -100,21 +100,25 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         "_k", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "text"))
     )
     links = write_out(next_keys(keyed.select("_k", "doc_id", F.length("text").cast("long").alias("n_chars"))))
+    # one exchange of the texts, read by both joins
+    texts = keyed.select("_k", "text").dropDuplicates(["_k"])
     ahead = (
-        keyed.select("_k", "text").dropDuplicates(["_k"]).withColumnRenamed("_k", "_next").join(links, "_next")
+        texts.withColumnRenamed("_k", "_next").join(links, "_next")
         .selectExpr("_k", "n_chars", "left(text, cast(floor(n_chars / 3) as int)) as _new", f"{winnowed('text')} as _next_kept")
     )
-    return (
-        keyed.join(ahead, "_k")
+    found = (
+        texts.join(ahead, "_k")
         .withColumn("_edited", F.expr("concat(left(text, cast(n_chars - floor(n_chars / 3) as int)), _new)"))
         .withColumn("_kept", F.expr(winnowed("text")))
         .withColumn("_edited_kept", F.expr(winnowed("_edited")))
         .selectExpr(
-            *[f"`{c}`" for c in base.columns if c != "text"], "n_chars", "sha2(_edited, 256) as edited_sha256",
+            "_k", "n_chars", "sha2(_edited, 256) as edited_sha256",
             f"{shown('_kept')} as fingerprint", f"{shown('_edited_kept')} as edited_fingerprint",
             f"{likeness('_kept', '_edited_kept')} as near_edited", f"{likeness('_kept', '_next_kept')} as near_next",
         )
     )
+    rest = [c for c in base.columns if c != "text"]
+    return keyed.select("_k", *[F.col(f"`{c}`") for c in rest]).join(found, "_k").select(*[F.col(f"`{c}`") for c in rest], *OUT)
 
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
