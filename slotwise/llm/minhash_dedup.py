@@ -252,7 +252,10 @@ def near_duplicates(docs: DataFrame, share: int = 75, size: int = SHINGLE) -> Da
     rows = numbered(signed, "_rid")
     narrow = rows.where("n_shingles > 0")
     same = ["n_shingles", "_d1", "_d2"]
-    classes = narrow.groupBy(*same).agg(F.min("_rid").alias("_stand"), F.count("*").alias("_k")).where("_k > 1")
+    # what rows are joined with is written first, so that a large class or component can be split
+    classes = write_out(
+        narrow.groupBy(*same).agg(F.min("_rid").alias("_stand"), F.count("*").alias("_k")).where("_k > 1").drop("_k")
+    )
     stand = write_out(
         narrow.select("_rid", *same).join(classes, same).select("_rid", "_stand")
     )
@@ -276,9 +279,9 @@ def near_duplicates(docs: DataFrame, share: int = 75, size: int = SHINGLE) -> Da
         rows.select("_rid", "doc_id").join(placed, "_rid")
     )
     # the smallest id, nulls last, then the smallest row
-    best = named.groupBy("_root").agg(
+    best = write_out(named.groupBy("_root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("id"), F.col("_rid").alias("rid"))).alias("_best")
-    )
+    ))
     placed = named.select("_rid", "_root").join(best, "_root").select(
         "_rid", F.lit(True).alias("_in"), F.col("_best.id").alias("_least"), F.col("_best.rid").alias("_row")
     )
