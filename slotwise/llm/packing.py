@@ -24,7 +24,7 @@ from slotwise.llm.tables import read, shares, text_bytes, without, write_out
 LENGTH, END_ID = 4096, 2
 AXES, STEPS, CELLS = 4, 12, 256
 RANGE_BYTES = 8_000_000
-KEPT_WORDS = 600_000
+KEPT_WORDS = 400_000
 OUT = ("start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 
 
