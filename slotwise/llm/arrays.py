@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 WORD_BASE, BASE_1, BASE_2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
-PIECE_BYTES, PIECE_ROWS = 2_000_000, 4096
+PIECE_BYTES, PIECE_ROWS = 1_000_000, 4096
 
 
 def byte_values() -> np.ndarray:
@@ -56,7 +56,7 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Cut batches by rows so that a piece holds about two megabytes of text, in 4096 rows at most."""
+    """Cut batches by rows so that a piece holds about a megabyte of text, in 4096 rows at most."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
