@@ -63,17 +63,31 @@ SPELLINGS = [
 COPYRIGHT = r"(?m)^[ \t*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 
 
-def canonical(text: str, replace: str = "regexp_replace({0}, {1}, {2})", slash: str = "\\\\") -> str:
-    """SQL for the canonical form of a text column; ``slash`` is a backslash in a literal of the dialect."""
+SPARK = ("regexp_replace({0}, {1}, {2})", "\\\\")  # how to replace all, and a backslash in a literal
+DUCKDB = ("regexp_replace({0}, {1}, {2}, 'g')", "\\")
 
-    def step(value: str, pattern: str, new: str) -> str:
-        return replace.format(value, "'" + pattern.replace("\\", slash) + "'", f"'{new}'")
 
-    out = step(f"lower({text})", COPYRIGHT, "")
-    out = step(out, "[^a-z0-9]+", " ")
+def _step(value: str, pattern: str, new: str, dialect: tuple[str, str]) -> str:
+    replace, slash = dialect
+    return replace.format(value, "'" + pattern.replace("\\", slash) + "'", f"'{new}'")
+
+
+def _words_only(text: str, dialect: tuple[str, str]) -> str:
+    """SQL for lower case, without copyright lines, a blank for all that is no letter or digit."""
+    return _step(_step(f"lower({text})", COPYRIGHT, "", dialect), "[^a-z0-9]+", " ", dialect)
+
+
+def _spelled(text: str, dialect: tuple[str, str]) -> str:
+    """SQL for the same words in one spelling."""
     for old, new in SPELLINGS:
-        out = step(out, rf"\b{old}" + ("" if old.endswith(" ") else r"\b"), new)
-    return f"trim({out})"
+        text = _step(text, rf"\b{old}" + ("" if old.endswith(" ") else r"\b"), new, dialect)
+    return f"trim({text})"
+
+
+def canonical(text: str) -> str:
+    """SQL for the canonical form of a text column; most texts hold no word to be respelled."""
+    respell = r"\\b(" + "|".join(old for old, _ in SPELLINGS) + ")"
+    return f"transform(array({_words_only(text, SPARK)}), c -> if(c rlike '{respell}', {_spelled('c', SPARK)}, trim(c)))[0]"
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -132,7 +146,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _duckdb() -> str:
     """The same steps for DuckDB."""
-    form = lambda column: canonical(column, "regexp_replace({0}, {1}, {2}, 'g')", "\\")
+    form = lambda column: _spelled(_words_only(column, DUCKDB), DUCKDB)
     values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in NOTICES)
     return f"""
 WITH known AS (
