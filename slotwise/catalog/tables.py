@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from slotwise.catalog.orders_view import map_bookings
 from slotwise.operators import profiles as pr
-from slotwise.operators.training import QUICK, Trained, train_all
+from slotwise.operators.training import REGISTERED, Trained, train_all
 from slotwise.plans.materialize import shared_folder, written
 from slotwise.sources.bookings import read_bookings, write_bookings
 
@@ -43,9 +43,9 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trained(spark: SparkSession, sf_dir: str) -> Trained:
-    """Models of small size, trained on all bookings."""
+    """Models trained on all bookings with the sizes of ``REGISTERED``, which the reports return."""
     source = bookings(spark, sf_dir)
-    return _once("trained", spark, sf_dir, lambda name: train_all(source, QUICK))
+    return _once("trained", spark, sf_dir, lambda name: train_all(source, REGISTERED))
 
 
 # Request fields as a careless client would send them: unknown, missing and
