@@ -5,7 +5,9 @@ at block elements. Each block has a text-to-tag ratio; the ratios, smoothed by
 a Gaussian along the page, fall into two clusters, and the upper one is
 content. The smallest element that holds most of the content is the content
 region, of which every block is kept that lies in no menu, notice, advert, form
-or other boilerplate element, however short.
+or other boilerplate element, however short. A word of a class or id marks an
+element as boilerplate only while it is no heading and does not hold the main
+element, an article or most of the text of the upper cluster.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ BOILER_NAME = frozenset(
     "related reply replies respond search share sharing sidebar signup skip skyscraper social sponsor sponsored "
     "sponsors subscribe subscription tags toolbar widget widgets".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+MAIN = ("article", "main")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -51,13 +55,19 @@ SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 SCOPE = frozenset("article aside body div footer form header html main nav ol section table ul dl td th".split())
 
 
-def _named_boiler(attrs: list[tuple[str, str | None]]) -> bool:
+def _named(attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether a class or id has a word that is usual for boilerplate."""
+    return any(
+        p.lower() in BOILER_NAME
+        for name, value in attrs if name in ("class", "id") and value
+        for p in NAME_PARTS.findall(value)
+    )
+
+
+def _stated(attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether a role says boilerplate, or the element is hidden."""
     for name, value in attrs:
-        if name in ("class", "id") and value:
-            parts = [p.lower() for p in NAME_PARTS.findall(value)]
-            if any(p in BOILER_NAME for p in parts):
-                return True
-        elif name == "role" and value and value.strip().lower() in BOILER_ROLE:
+        if name == "role" and value and value.strip().lower() in BOILER_ROLE:
             return True
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and HIDDEN.search(value):
             return True
@@ -65,21 +75,27 @@ def _named_boiler(attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class Blocks(HTMLParser):
-    """Blocks of a page: text, characters, characters in links, tags, container, boilerplate or not.
+    """Blocks of a page: text, characters in links, tags, container, boilerplate or not, mark, body of an article.
 
     An element left open ends with the element around it. ``containers`` has
-    the parent and the name of each container element.
+    the parent and the name of each container element. ``marks`` has, of each
+    element marked by its name alone, the mark around it and whether an article
+    or main element was open; mark 0 is none. ``holders`` are marks that hold
+    an article or main element, ``inner`` those that hold one within main.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, int]] = []  # tag, silent, boilerplate, container
+        self.stack: list[tuple[str, bool, bool, int, int]] = []  # tag, silent, boilerplate, container, mark
         self.containers: list[tuple[int, str]] = [(-1, "page")]
-        self.blocks: list[tuple[str, int, int, int, bool]] = []
+        self.blocks: list[tuple[str, int, int, int, bool, int, bool]] = []
+        self.marks: list[tuple[int, str]] = [(0, "")]
+        self.holders: set[int] = set()
+        self.inner: set[int] = set()
         self.parts: list[str] = []
         self.tags = self.linked = self.in_link = 0
         self.silent = self.boiler = False
-        self.container = 0
+        self.container = self.mark = self.in_main = 0
 
     def updatepos(self, i: int, j: int) -> int:
         return j  # line numbers are not asked for
@@ -88,12 +104,13 @@ class Blocks(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append((text, min(self.linked, len(text)), self.tags, self.container, self.boiler))
+                body = self.in_main > 0 and self.stack[-1][0] not in HEADINGS
+                self.blocks.append((text, min(self.linked, len(text)), self.tags, self.container, self.boiler, self.mark, body))
             self.parts = []
             self.tags = self.linked = 0
 
     def _restore(self) -> None:
-        _, self.silent, self.boiler, self.container = self.stack[-1] if self.stack else ("", False, False, 0)
+        _, self.silent, self.boiler, self.container, self.mark = self.stack[-1] if self.stack else ("", False, False, 0, 0)
 
     def _close(self, depth: int) -> None:
         if any(tag in BLOCK for tag, *_ in self.stack[depth:]):
@@ -101,6 +118,8 @@ class Blocks(HTMLParser):
         for tag, *_ in self.stack[depth:]:
             if tag == "a" and self.in_link:
                 self.in_link -= 1
+            elif tag in MAIN:
+                self.in_main -= 1
         del self.stack[depth:]
         self._restore()
 
@@ -128,12 +147,19 @@ class Blocks(HTMLParser):
         if tag in BLOCK:
             self._implied_end(tag)
             self.flush()
-        inside = any(t in ("article", "main") for t, *_ in self.stack) if tag == "header" else False
+        page = tag in ("html", "body", *MAIN)
         boiler = (
-            self.boiler or tag in BOILER or tag == "header" and not inside
-            or bool(attrs) and tag not in ("html", "body", "article", "main") and _named_boiler(attrs)
+            self.boiler or tag in BOILER or tag == "header" and not self.in_main
+            or bool(attrs) and not page and _stated(attrs)
         )
-        if boiler and not self.boiler and tag not in BLOCK:
+        mark, named = self.mark, bool(attrs) and _named(attrs)
+        if named and not page and tag not in HEADINGS:
+            around = [t for t, *_ in self.stack if t in MAIN] if self.in_main else []
+            self.marks.append((mark, "article" if "article" in around else "main" if around else ""))
+            mark = len(self.marks) - 1
+        elif tag in MAIN and mark and not named and not boiler:
+            mark = self._held(mark)
+        if (boiler, mark) != (self.boiler, self.mark) and tag not in BLOCK:
             # an inline element of boilerplate must not share a block with its surroundings
             self.flush()
         silent = self.silent or tag in SILENT
@@ -143,10 +169,25 @@ class Blocks(HTMLParser):
             container = len(self.containers) - 1
         if tag == "a":
             self.in_link += 1
-        if tag == "body":
+        elif tag in MAIN:
+            self.in_main += 1
+        elif tag == "body":
             silent = boiler = False
-        self.stack.append((tag, silent, boiler, container))
-        self.silent, self.boiler, self.container = silent, boiler, container
+            mark = 0
+        self.stack.append((tag, silent, boiler, container, mark))
+        self.silent, self.boiler, self.container, self.mark = silent, boiler, container, mark
+
+    def _held(self, mark: int) -> int:
+        """The mark inside a main element or an article: none, unless one is around the marked element, as of comments."""
+        inherited = mark
+        while mark:
+            outer, around = self.marks[mark]
+            if not around:
+                self.holders.add(mark)
+            elif around == "main":
+                self.inner.add(mark)
+            mark = outer
+        return 0 if inherited in self.holders else inherited
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -158,10 +199,10 @@ class Blocks(HTMLParser):
         if tag in VOID:
             return
         for depth in range(len(self.stack) - 1, -1, -1):
-            name, _, boiler, _ = self.stack[depth]
+            name, _, boiler, _, mark = self.stack[depth]
             if name == tag:
-                outer = self.stack[depth - 1][2] if depth else False
-                if boiler and not outer:
+                _, _, outer, _, around = self.stack[depth - 1] if depth else ("", False, False, 0, 0)
+                if (boiler, mark) != (outer, around):
                     self.flush()
                 self._close(depth)
                 return
@@ -198,6 +239,33 @@ def upper_cluster(values: np.ndarray) -> np.ndarray:
         low, high = new
 
 
+def _upper(ratio: np.ndarray, free: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """The content blocks among the free ones."""
+    content = upper_cluster(smoothed(ratio, SPREAD)) & free & (linked < 0.5)
+    return content if content.any() else free & (ratio == ratio[free].max())
+
+
+def _marked(parser: Blocks, size: np.ndarray, content: np.ndarray, prose: np.ndarray) -> np.ndarray:
+    """The blocks that are boilerplate by the name of an element around them."""
+    blocks, marks = parser.blocks, parser.marks
+    weight = np.zeros(len(marks))
+    for block, n in zip(blocks, size * content, strict=True):
+        weight[block[5]] += n
+    for m in range(len(marks) - 1, 0, -1):  # a mark comes after the marks around it
+        weight[marks[m][0]] += weight[m]
+    stays = [False]
+    most = weight >= REGION_SHARE * weight[0]
+    for m in range(1, len(marks)):
+        lifted = m in parser.holders or m in parser.inner and most[m]
+        stays.append(stays[marks[m][0]] or not lifted)
+    if any(p and b[6] and not stays[b[5]] for b, p in zip(blocks, prose, strict=True)):
+        return np.array([stays[b[5]] for b in blocks])
+    for m in range(1, len(marks)):  # no article has text: the elements that hold most of it are no boilerplate
+        lifted = m in parser.holders or most[m]
+        stays[m] = stays[marks[m][0]] or not lifted
+    return np.array([stays[b[5]] for b in blocks])
+
+
 def main_text(html: str) -> tuple[str, int, int]:
     """Main text of a page, its number of blocks, and how many of them are kept."""
     parser = Blocks()
@@ -212,10 +280,12 @@ def main_text(html: str) -> tuple[str, int, int]:
     linked = np.array([b[1] for b in blocks]) / size
     if not free.any():
         return "", len(blocks), 0
-    ratio = np.log1p(size / np.maximum(1, [b[2] for b in blocks])) * (1 - linked) * free
-    content = upper_cluster(smoothed(ratio, SPREAD)) & free & (linked < 0.5)
-    if not content.any():
-        content = free & (ratio == ratio[free].max())
+    density = np.log1p(size / np.maximum(1, [b[2] for b in blocks])) * (1 - linked)
+    if len(parser.marks) > 1:
+        free &= ~_marked(parser, size, _upper(density * free, free, linked), free & (linked < 0.5))
+        if not free.any():
+            return "", len(blocks), 0
+    content = _upper(density * free, free, linked)
     # text of the content blocks below each container; the deepest with enough of it is the region
     weight = np.zeros(len(parser.containers))
     for block, chosen, n in zip(blocks, content, size, strict=True):
@@ -226,7 +296,7 @@ def main_text(html: str) -> tuple[str, int, int]:
         weight[parser.containers[c][0]] += weight[c]
     region = max(c for c in range(len(weight)) if weight[c] >= REGION_SHARE * total)
     named = region
-    while named > 0 and parser.containers[named][1] not in ("article", "main"):
+    while named > 0 and parser.containers[named][1] not in MAIN:
         named = parser.containers[named][0]
     if named > 0:
         region = named
