@@ -1,6 +1,6 @@
 """Licence scan by digests of canonical texts.
 
-A text is brought into a canonical form: lower case, copyright lines left out,
+A text is brought into a canonical form: lower case, copyright statements left out,
 equivalent spellings made one, punctuation and white space one blank. The
 digests of the whole document, of its paragraphs and of its lines are joined
 with the digests of known licence texts and notices, treated alike.
@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from slotwise.llm.license_texts import TEXTS
 from slotwise.llm.tables import read, without
 
 OUT = ("licenses", "n_license_units", "whole_license")
 
-# Short notices and texts of public licences, by SPDX identifier.
+# Short notices and first paragraphs of public licences, by SPDX identifier;
+# whole texts and headers are in license_texts.
 NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\");"),
@@ -61,23 +63,30 @@ SPELLINGS = [
     ("per cent", "percent"), ("programme", "program"), ("recognise", "recognize"), ("version ", "v"), ("ver ", "v"), ("v ", "v"),
 ]
 COPYRIGHT = r"(?m)^[ \t*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+# A statement ends with its line or where a notice begins; lines of a wrapped licence are none.
+STATEMENT = (
+    r"(?m)^[ \t*#/;-]*(copyright(?![ \t]+(notices?|holders?|owners?|and|or|laws?|license)\b)|\(c\)|©|all rights reserved)"
+    r"[^\n]*?(?=\n|\z|\b(licen[sc]ed under|released under|distributed under|spdx-license-identifier|permission is hereby|permission to use|"
+    r"redistribution and use|use of this source|to the extent possible|this (work|program|library|software|source code form|file) is)\b)"
+)
 
 
-SPARK = ("regexp_replace({0}, {1}, {2})", "\\\\")  # how to replace all, and a backslash in a literal
-DUCKDB = ("regexp_replace({0}, {1}, {2}, 'g')", "\\")
+# how to replace all, a backslash in a literal, and what is cut (DuckDB's patterns can't look ahead)
+SPARK = ("regexp_replace({0}, {1}, {2})", "\\\\", STATEMENT)
+DUCKDB = ("regexp_replace({0}, {1}, {2}, 'g')", "\\", COPYRIGHT)
 
 
-def _step(value: str, pattern: str, new: str, dialect: tuple[str, str]) -> str:
-    replace, slash = dialect
+def _step(value: str, pattern: str, new: str, dialect: tuple[str, str, str]) -> str:
+    replace, slash, _ = dialect
     return replace.format(value, "'" + pattern.replace("\\", slash) + "'", f"'{new}'")
 
 
-def _words_only(text: str, dialect: tuple[str, str]) -> str:
-    """SQL for lower case, without copyright lines, a blank for all that is no letter or digit."""
-    return _step(_step(f"lower({text})", COPYRIGHT, "", dialect), "[^a-z0-9]+", " ", dialect)
+def _words_only(text: str, dialect: tuple[str, str, str]) -> str:
+    """SQL for lower case, without copyright statements, a blank for all that is no letter or digit."""
+    return _step(_step(f"lower({text})", dialect[2], "", dialect), "[^a-z0-9]+", " ", dialect)
 
 
-def _spelled(text: str, dialect: tuple[str, str]) -> str:
+def _spelled(text: str, dialect: tuple[str, str, str]) -> str:
     """SQL for the same words in one spelling."""
     for old, new in SPELLINGS:
         text = _step(text, rf"\b{old}" + ("" if old.endswith(" ") else r"\b"), new, dialect)
@@ -137,7 +146,7 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: licences of its text, paragraphs and lines."""
-    known = spark.createDataFrame(NOTICES, "license string, text string")
+    known = spark.createDataFrame(NOTICES + TEXTS, "license string, text string")
     found = scan(read(spark, sf_dir, "documents").select("doc_id", "text"), known)
     return found.select(
         "doc_id", F.array_join("licenses", ",").alias("licenses"), "n_license_units", "whole_license"
