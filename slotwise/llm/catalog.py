@@ -11,6 +11,7 @@ from slotwise.llm import (
     minhash_dedup,
     packing,
     substring_dedup,
+    token_alignment,
     toxicity,
 )
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_minhash_dedup": minhash_dedup.op8_minhash_dedup,
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_cross_tokenizer_alignment": token_alignment.op11_cross_tokenizer_alignment,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE = {
