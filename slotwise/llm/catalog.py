@@ -10,9 +10,11 @@ from slotwise.llm import (
     lm_scoring,
     minhash_dedup,
     packing,
+    sharding,
     substring_dedup,
     token_alignment,
     toxicity,
+    whitening,
 )
 
 QUERIES = {
@@ -27,6 +29,8 @@ QUERIES = {
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_cross_tokenizer_alignment": token_alignment.op11_cross_tokenizer_alignment,
+    "op12_sharding": sharding.op12_sharding,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE = {
