@@ -17,23 +17,28 @@ documents again and takes the counts that their chunk asked for.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
 import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from slotwise.llm.arrays import binary_rows, mix, text_buffers
-from slotwise.llm.tables import BUCKET_BYTES, CHUNK_BYTES, read, shares, text_bytes, without, write_out
+from slotwise.llm.arrays import BASE_1, BASE_2, binary_rows, mix, powers, text_buffers
+from slotwise.llm.tables import BUCKET_BYTES, read, shares, text_bytes, without, write_out
 
+CHUNK_BYTES = 6_000_000
+BATCH = 1024
 FAN = 32
-GROUP_CHUNKS = 1024
+GROUP_CHUNKS = 512
 BUCKETS = 4096  # buckets hold whole second ids, of which there are a few ten thousand
 OUT = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
 ENTRIES = "_chunk long, _bucket long, _group long, _keys binary, _counts binary"
@@ -43,6 +48,9 @@ SUMS = "_bucket long, _group long, _sums binary"
 TABLE = f"{HASH}, _sums binary, _best binary"
 
 UNIT = re.compile(r"(?<=\S) (?=\S)")
+_SPACE = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+#: Texts with a space at an end or next to other white space; in all others every space begins a unit.
+ODD_SPACE = f"^ | $|{_SPACE} | {_SPACE}"
 #: Units for the fast encoder: Latin letters, no white space at either end.
 PLAIN = re.compile("(?!\\s)[\x00-ɏ]{1,1000}(?<!\\s)")
 #: Fixed value: how byte_bpe_50k splits text before its merges.
@@ -76,22 +84,48 @@ class Encoders:
         self.size_a = np.array([len(x) for x in self.bytes_a])
         self.size_b = np.array([len(x) for x in self.bytes_b])
 
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both tokenizers for each unit, its space included."""
-        ids_a: list[list[int]] = [[]] * len(units)
-        plain = [i for i, u in enumerate(units) if PLAIN.fullmatch(u)]
-        for start in range(0, len(plain), 4096):
-            part = plain[start : start + 4096]
-            found = self.fast.encode_ordinary("".join([" " + units[i] for i in part]))
-            ends = np.cumsum([1 + len(units[i].encode()) for i in part])
-            cuts = np.searchsorted(np.cumsum(self.size_a[found]), ends) + 1
-            for i, a, b in zip(part, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
-                ids_a[i] = found[a:b]
-        rest = sorted(set(range(len(units))).difference(plain))
-        whole = self.a.encode_batch([" " + units[i] for i in rest], add_special_tokens=False)
-        for i, e in zip(rest, whole, strict=True):
-            ids_a[i] = e.ids
-        return ids_a, self.b.encode(units, num_threads=1)
+    def encode(self, plain: list[str], rest: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of both tokenizers for all units, their spaces included, and how many each unit has."""
+        parts = [([], [], [], [])]
+        for start in range(0, len(plain), BATCH):
+            units = plain[start : start + BATCH]
+            ids = np.array(self.fast.encode_ordinary(" " + " ".join(units)), np.int64)
+            ends = np.searchsorted(np.cumsum(self.size_a[ids]), np.cumsum(byte_sizes(units))) + 1
+            parts.append((ids, np.diff(ends, prepend=0), *_flat(self.b.encode(units, num_threads=1))))
+        for start in range(0, len(rest), BATCH):
+            units = rest[start : start + BATCH]
+            found = self.a.encode_batch([" " + u for u in units], add_special_tokens=False)
+            parts.append((*_flat([e.ids for e in found]), *_flat(self.b.encode(units, num_threads=1))))
+        return tuple(np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True))
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, n.sum()), n
+
+
+def byte_sizes(units: list[str]) -> np.ndarray:
+    """Bytes of each unit with its space."""
+    return np.fromiter(map(len, map(str.encode, units)), np.int64, len(units)) + 1
+
+
+def split_units(texts: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """Units of all texts in a row, without their space, and where each text's begin; an empty one has none."""
+    texts = pc.fill_null(texts, "").combine_chunks()
+    odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False).astype(bool)
+    usual = ~odd & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
+    lists = pc.split_pattern(texts.filter(pa.array(usual)), " ")
+    rows = [UNIT.split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+    values = pa.concat_arrays([lists.flatten(), pa.array(chain.from_iterable(rows), pa.string())])
+    n = np.zeros(len(texts), np.int64)
+    n[usual], n[odd] = lists.value_lengths().to_numpy(), [len(r) for r in rows]
+    first = np.concatenate([[0], np.cumsum(n)])
+    # the values hold the usual texts' units first
+    start = np.empty(len(texts), np.int64)
+    start[usual], start[odd] = np.cumsum(n[usual]) - n[usual], n[usual].sum() + np.cumsum(n[odd]) - n[odd]
+    if odd.any():
+        values = values.take(pa.array(np.repeat(start - first[:-1], n) + np.arange(first[-1])))
+    return values, first
 
 
 _encoders: dict[tuple[str, str], Encoders] = {}
@@ -101,35 +135,50 @@ def encoders(paths: tuple[str, str]) -> Encoders:
     """The tokenizers of a worker, loaded once."""
     if paths not in _encoders:
         _encoders[paths] = Encoders(*paths)
+        gc.freeze()  # the vocabularies stay; collections need not walk through them again
     return _encoders[paths]
 
 
 class Aligned:
     """Units of some texts, their tokens and links; ``valid`` tells which texts have tokens."""
 
-    def __init__(self, texts: list[str | None], paths: tuple[str, str]):
+    def __init__(self, texts: pa.ChunkedArray, paths: tuple[str, str]):
         codes = encoders(paths)
-        number: dict[str, int] = {}
-        rows = [[number.setdefault(u, len(number)) for u in UNIT.split(t)] if t else [] for t in texts]
-        units = list(number)
-        ids_a, ids_b = codes.encode(units)
-        same = np.ones(len(units), bool)
-        for i, u in enumerate(units):
-            wanted = b" " + u.encode()
-            if (
-                b"".join([codes.bytes_b[x] for x in ids_b[i]]) != wanted
-                or b"".join([codes.bytes_a[x] for x in ids_a[i]]) != wanted
-            ):
-                same[i], ids_a[i], ids_b[i] = False, [], []
-        self.n_a, self.n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-        self.a, self.b = (np.array([x for part in ids for x in part], np.int64) for ids in (ids_a, ids_b))
+        values, self.first = split_units(texts)
+        coded = values.dictionary_encode()
+        distinct, found = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        is_plain = np.fromiter(map(bool, map(PLAIN.fullmatch, distinct)), bool, len(distinct))
+        plain, rest = list(compress(distinct, is_plain)), list(compress(distinct, ~is_plain))
+        place = np.where(is_plain, np.cumsum(is_plain) - 1, len(plain) + np.cumsum(~is_plain) - 1)
+        self.units = place[found] if len(found) else np.zeros(0, np.int64)
+        self.a, self.n_a, self.b, self.n_b = codes.encode(plain, rest)
+        same = self._same(plain, rest, codes)
+        if not same.all():
+            self.a, self.b = self.a[np.repeat(same, self.n_a)], self.b[np.repeat(same, self.n_b)]
+            self.n_a, self.n_b = np.where(same, self.n_a, 0), np.where(same, self.n_b, 0)
         self.end_a, self.end_b = np.cumsum(codes.size_a[self.a]), np.cumsum(codes.size_b[self.b])
-        self.first = np.cumsum([0, *map(len, rows)])
-        self.units = np.fromiter((u for r in rows for u in r), np.int64, self.first[-1])
-        bad = self.sums(~same)
-        self.valid = (bad == 0) & (np.diff(self.first) > 0)
+        self.valid = (self.sums(~same) == 0) & (np.diff(self.first) > 0)
         self._links(codes)
 
+    def _same(self, plain: list[str], rest: list[str], codes: Encoders) -> np.ndarray:
+        """Which units both tokenizers give back byte for byte.
+
+        Plain units have no letter that the second one writes as a space, so
+        equal lengths tell; the others are compared.
+        """
+        same = np.ones(len(plain) + len(rest), bool)
+        wanted = byte_sizes(plain)
+        for ids, n, parts, size in (
+            (self.a, self.n_a, codes.bytes_a, codes.size_a), (self.b, self.n_b, codes.bytes_b, codes.size_b),
+        ):
+            last = np.cumsum(n)
+            sums = np.concatenate([[0], np.cumsum(size[ids])])
+            same[: len(plain)] &= np.diff(sums[last[: len(plain)]], prepend=0) == wanted
+            first = (last - n).tolist()
+            for i, unit in enumerate(rest, len(plain)):
+                same[i] &= b"".join([parts[x] for x in ids[first[i] : last[i]].tolist()]) == b" " + unit.encode()
+        return same
+
     def _links(self, codes: Encoders) -> None:
         start_a, start_b = self.end_a - codes.size_a[self.a], self.end_b - codes.size_b[self.b]
         low = np.searchsorted(self.end_b, start_a, side="right")
@@ -162,16 +211,40 @@ class Aligned:
         return keys[counts > 0], counts[counts > 0]
 
     def group_texts(self) -> list[str]:
-        """Per unit, its groups as ``a1,a2|b1;a3|b2,b3``."""
-        a, b = self.a.astype(str).tolist(), self.b.astype(str).tolist()
-        to_a = (np.searchsorted(self.end_a, self.cuts) + 1).tolist()
-        to_b = (np.searchsorted(self.end_b, self.cuts) + 1).tolist()
-        groups = [
-            f"{','.join(a[i:j])}|{','.join(b[k:m])}"
-            for i, j, k, m in zip([0, *to_a], to_a, [0, *to_b], to_b, strict=False)
+        """Per text, its groups as ``a1,a2|b1;a3|b2,b3``; each distinct group is written once."""
+        to_a, to_b = np.searchsorted(self.end_a, self.cuts) + 1, np.searchsorted(self.end_b, self.cuts) + 1
+        from_a, from_b = np.concatenate([[0], to_a[:-1]]), np.concatenate([[0], to_b[:-1]])
+        keys = [
+            mix(_runs(self.a, from_a, to_a, base) + np.uint64(3) * _runs(self.b, from_b, to_b, base))
+            for base in (BASE_1, BASE_2)
+        ]
+        order = np.lexsort(keys)
+        new = np.ones(len(order), bool)
+        new[1:] = (keys[0][order][1:] != keys[0][order][:-1]) | (keys[1][order][1:] != keys[1][order][:-1])
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        written = [
+            ",".join(map(str, self.a[i:j].tolist())) + "|" + ",".join(map(str, self.b[k:m].tolist()))
+            for i, j, k, m in zip(*(x[order[new]].tolist() for x in (from_a, to_a, from_b, to_b)), strict=True)
+        ]
+        # the groups of each text in turn, unit by unit
+        many = np.diff(self.group_ends, prepend=0)
+        each = many[self.units]
+        before = np.cumsum(each) - each
+        at = np.repeat((self.group_ends - many)[self.units] - before, each) + np.arange(each.sum())
+        groups = number[at].tolist()
+        ends = np.concatenate([[0], np.cumsum(each)])[self.first].tolist()
+        return [
+            ";".join(map(written.__getitem__, groups[i:j])) if ok else ""
+            for ok, i, j in zip(self.valid, ends[:-1], ends[1:], strict=True)
         ]
-        ends = self.group_ends.tolist()
-        return [";".join(groups[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
+
+
+def _runs(ids: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """Hashes of ``ids[start[i]:end[i]]``."""
+    up, down = powers(base, len(ids))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(ids.view(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
 class BitLevels:
@@ -239,7 +312,7 @@ def _entries(
         for start, end in zip(edges[:-1], edges[1:], strict=True):
             if start == end:
                 continue
-            keys, counts = Aligned(batch.column("text").slice(start, end - start).to_pylist(), paths).pair_counts()
+            keys, counts = Aligned(pa.chunked_array([batch.column("text").slice(start, end - start)]), paths).pair_counts()
             bucket = (mix(keys.view(np.uint64) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             keys, counts, bucket = keys[order], counts[order], bucket[order]
@@ -338,7 +411,7 @@ def _answers(rows: pa.Table, table: pa.Table) -> pa.Table:
 
 def _scored(docs: pa.Table, answers: pa.Table, paths: tuple[str, str]) -> pa.Table:
     """Second pass: the chunk's documents aligned again, with the counts of their links."""
-    aligned = Aligned(docs.column("text").to_pylist(), paths)
+    aligned = Aligned(docs.column("text"), paths)
     keys = np.concatenate([np.zeros(0, np.int64), *_longs(answers, "_keys")])
     counts = np.concatenate([np.zeros(0, np.int64), *_longs(answers, "_counts")])
     top = np.frombuffer(b"".join(answers.column("_top").to_pylist()), bool)
@@ -357,12 +430,7 @@ def _scored(docs: pa.Table, answers: pa.Table, paths: tuple[str, str]) -> pa.Tab
     out = docs.drop_columns(["_chunk", "text"])
     for name, of_unit in zip(OUT, values, strict=False):
         out = out.append_column(name, pa.array(np.where(aligned.valid, aligned.sums(of_unit), 0)))
-    texts = aligned.group_texts()
-    groups = [
-        ";".join([texts[u] for u in aligned.units[i:j].tolist()]) if ok else ""
-        for ok, i, j in zip(aligned.valid, aligned.first[:-1], aligned.first[1:], strict=True)
-    ]
-    return out.append_column("groups", pa.array(groups, pa.string()))
+    return out.append_column("groups", pa.array(aligned.group_texts(), pa.string()))
 
 
 def tree(rows: DataFrame, groups: int, step, schema: str) -> DataFrame:
@@ -417,7 +485,7 @@ def align(
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields]
     dealt = write_out(base.mapInArrow(lambda b: _dealt(b, chunk_bytes), ", ".join([*fields, "_chunk long"])))
     total = text_bytes(dealt)
-    # a chunk of two megabytes asks for about a hundred kilobytes of pairs
+    # a chunk asks for about 200 kilobytes of pairs
     buckets, groups = min(shares(total, 16 * BUCKET_BYTES), BUCKETS), shares(total, chunk_bytes * group_chunks)
     entries = write_out(
         dealt.select("_chunk", "text").mapInArrow(lambda b: _entries(b, paths, buckets, groups), ENTRIES)

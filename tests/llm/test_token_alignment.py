@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from conftest_llm import digest
@@ -113,7 +114,7 @@ def test_units_encode_as_whole_texts(plain):
     rng = random.Random(11)
     letters = list("aeio  bcd.,'19\n\t éßΩ日  \x1c🙂-_") + ["the", "'s", " \n", "  ", "ing"]
     texts = ["".join(rng.choices(letters, k=rng.randint(1, 60))) for _ in range(2500)]
-    aligned = ta.Aligned(texts, (A, B))
+    aligned = ta.Aligned(pa.chunked_array([texts[:7], texts[7:]]), (A, B))
     starts_a, starts_b = (np.cumsum([0, *n.tolist()]) for n in (aligned.n_a, aligned.n_b))
     for row, text in enumerate(texts):
         units = aligned.units[aligned.first[row] : aligned.first[row + 1]]
