@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from slotwise.llm.arrays import BASE_1, BASE_2, binary_rows, mix, powers, text_buffers
 from slotwise.llm.tables import BUCKET_BYTES, read, shares, text_bytes, without, write_out
 
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 4_000_000
 BATCH = 1024
 FAN = 32
 GROUP_CHUNKS = 512
@@ -151,6 +151,7 @@ class Aligned:
         plain, rest = list(compress(distinct, is_plain)), list(compress(distinct, ~is_plain))
         place = np.where(is_plain, np.cumsum(is_plain) - 1, len(plain) + np.cumsum(~is_plain) - 1)
         self.units = place[found] if len(found) else np.zeros(0, np.int64)
+        del values, coded, distinct, found
         self.a, self.n_a, self.b, self.n_b = codes.encode(plain, rest)
         same = self._same(plain, rest, codes)
         if not same.all():
@@ -232,10 +233,10 @@ class Aligned:
         each = many[self.units]
         before = np.cumsum(each) - each
         at = np.repeat((self.group_ends - many)[self.units] - before, each) + np.arange(each.sum())
-        groups = number[at].tolist()
+        groups = number[at]
         ends = np.concatenate([[0], np.cumsum(each)])[self.first].tolist()
         return [
-            ";".join(map(written.__getitem__, groups[i:j])) if ok else ""
+            ";".join(map(written.__getitem__, groups[i:j].tolist())) if ok else ""
             for ok, i, j in zip(self.valid, ends[:-1], ends[1:], strict=True)
         ]
 
@@ -485,7 +486,7 @@ def align(
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields]
     dealt = write_out(base.mapInArrow(lambda b: _dealt(b, chunk_bytes), ", ".join([*fields, "_chunk long"])))
     total = text_bytes(dealt)
-    # a chunk asks for about 200 kilobytes of pairs
+    # a chunk asks for about 150 kilobytes of pairs
     buckets, groups = min(shares(total, 16 * BUCKET_BYTES), BUCKETS), shares(total, chunk_bytes * group_chunks)
     entries = write_out(
         dealt.select("_chunk", "text").mapInArrow(lambda b: _entries(b, paths, buckets, groups), ENTRIES)
