@@ -35,10 +35,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from slotwise.llm.arrays import BASE_1, BASE_2, binary_rows, mix, powers, text_buffers
 from slotwise.llm.tables import BUCKET_BYTES, read, shares, text_bytes, without, write_out
 
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 3_000_000
+OUT_ROWS = 256
 BATCH = 1024
 FAN = 32
-GROUP_CHUNKS = 512
+GROUP_CHUNKS = 700
 BUCKETS = 4096  # buckets hold whole second ids, of which there are a few ten thousand
 OUT = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
 ENTRIES = "_chunk long, _bucket long, _group long, _keys binary, _counts binary"
@@ -313,6 +314,7 @@ def _entries(
         for start, end in zip(edges[:-1], edges[1:], strict=True):
             if start == end:
                 continue
+            pa.default_memory_pool().release_unused()  # the allocator keeps what earlier chunks freed
             keys, counts = Aligned(pa.chunked_array([batch.column("text").slice(start, end - start)]), paths).pair_counts()
             bucket = (mix(keys.view(np.uint64) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -412,6 +414,7 @@ def _answers(rows: pa.Table, table: pa.Table) -> pa.Table:
 
 def _scored(docs: pa.Table, answers: pa.Table, paths: tuple[str, str]) -> pa.Table:
     """Second pass: the chunk's documents aligned again, with the counts of their links."""
+    pa.default_memory_pool().release_unused()  # the allocator keeps what earlier chunks freed
     aligned = Aligned(docs.column("text"), paths)
     keys = np.concatenate([np.zeros(0, np.int64), *_longs(answers, "_keys")])
     counts = np.concatenate([np.zeros(0, np.int64), *_longs(answers, "_counts")])
@@ -431,7 +434,8 @@ def _scored(docs: pa.Table, answers: pa.Table, paths: tuple[str, str]) -> pa.Tab
     out = docs.drop_columns(["_chunk", "text"])
     for name, of_unit in zip(OUT, values, strict=False):
         out = out.append_column(name, pa.array(np.where(aligned.valid, aligned.sums(of_unit), 0)))
-    return out.append_column("groups", pa.array(aligned.group_texts(), pa.string()))
+    out = out.append_column("groups", pa.array(aligned.group_texts(), pa.string()))
+    return pa.Table.from_batches(out.to_batches(max_chunksize=OUT_ROWS), out.schema)
 
 
 def tree(rows: DataFrame, groups: int, step, schema: str) -> DataFrame:
@@ -486,7 +490,7 @@ def align(
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields]
     dealt = write_out(base.mapInArrow(lambda b: _dealt(b, chunk_bytes), ", ".join([*fields, "_chunk long"])))
     total = text_bytes(dealt)
-    # a chunk asks for about 150 kilobytes of pairs
+    # a chunk asks for about 130 kilobytes of pairs
     buckets, groups = min(shares(total, 16 * BUCKET_BYTES), BUCKETS), shares(total, chunk_bytes * group_chunks)
     entries = write_out(
         dealt.select("_chunk", "text").mapInArrow(lambda b: _entries(b, paths, buckets, groups), ENTRIES)
