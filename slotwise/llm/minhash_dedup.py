@@ -8,10 +8,11 @@ similarity. Five bins make a band; a pair at 0.75 misses all 51 bands once in a
 million.
 
 Documents with the same set are one class, whose smallest row stands for it. In
-each bucket every member is linked with a few centers only, the least rows in
-eight fixed orders, and such a link counts when the full sets confirm it. In buckets whose members then
-still lie in different components a link may have been missed; there the pairs of
-different components are compared as well, each pair once.
+each bucket the least rows in eight fixed orders are centers; every member tries
+the four centers that it shares most bands with, and such a link counts when the
+full sets confirm it. In buckets whose members then still lie in different
+components a link may have been missed; rows of those are joined on their rarest
+shingles, of which a similar pair must share one, across components only.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from slotwise.llm.arrays import BASE_1, SPACES, Words, binary_rows, mix, pieces
 from slotwise.llm.tables import numbered, read, without, write_out
 
 SHINGLE, BANDS, ROWS = 5, 51, 5
-STARS = 8
+STARS, TRIED = 8, 4
+CELLS = 2**20
 MAP_BITS = 1024
 OUT = ("n_shingles", "component_id", "kept", "first_row")
 
@@ -174,36 +176,82 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def open_pairs(members: DataFrame, keys: DataFrame, roots: DataFrame, share: int) -> DataFrame:
-    """Pairs of different components that meet in a bucket, each of them once.
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets hold an item of each cell, summed over a task."""
+    counts = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for items in batch.column("_set"):
+            counts += np.bincount(cell_of(np.frombuffer(items.as_buffer(), np.uint64)), minlength=CELLS)
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["_cell", "_n"])
+
+
+def cell_of(items: np.ndarray) -> np.ndarray:
+    return (mix(items ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(CELLS)).astype(np.int64)
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], often: np.ndarray, share: int) -> Iterator[pa.RecordBatch]:
+    """The rarest items of each set, as many as a similar set must meet one of."""
+    for batch in batches:
+        items, rows = [], []
+        for i, blob in enumerate(batch.column("_set")):
+            own = np.frombuffer(blob.as_buffer(), np.uint64)
+            n = len(own) - -(-share * len(own) // 100) + 1
+            items.append(own[np.lexsort((own, often[cell_of(own)]))[:n]])
+            rows.append(np.full(len(items[-1]), i))
+        if not rows:
+            continue
+        kept = batch.drop_columns(["_set"]).take(pa.array(np.concatenate(rows)))
+        yield pa.RecordBatch.from_arrays(
+            [*kept.columns, pa.array(np.concatenate(items).view(np.int64))], [*kept.schema.names, "_item"]
+        )
 
-    A bucket is open while its members lie in different components. A pair is
-    taken in the first band it shares, which the band keys of both tell, and
-    only if the parity maps leave room for enough items in common, which loses
-    no pair that is similar enough.
+
+def open_pairs(members: DataFrame, maps: DataFrame, sets: DataFrame, roots: DataFrame, share: int) -> DataFrame:
+    """Pairs of different components among the rows of open buckets that may be similar enough.
+
+    A bucket is open while its members lie in different components. Two sets of
+    that similarity share one of their rarest items: in any fixed order of all
+    items, the first of each that remain when ``share`` percent are left out,
+    and one. The order is by how often an item's cell occurs in the open
+    buckets, so documents on one template, which share only what all have, do
+    not meet. Where they meet, the rows of the component most common there are
+    paired with the others only. Sizes and parity maps then drop pairs that
+    cannot have enough in common; neither step loses a pair.
     """
     placed = members.select("_key", "_rid").join(roots, "_rid", "left").withColumn("_root", F.coalesce("_root", "_rid"))
     mixed = placed.groupBy("_key").agg(F.min("_root").alias("_l"), F.max("_root").alias("_g")).where("_l < _g")
-    rows = write_out(
-        placed.join(mixed.select("_key"), "_key", "left_semi").join(keys, "_rid")
-        .select("_key", "_rid", "_root", "n_shingles", "_keys", "_map")
+    rows = placed.join(mixed.select("_key"), "_key", "left_semi").select("_rid", "_root").distinct()
+    rows = write_out(rows.join(sets, "_rid"))
+    often = np.zeros(CELLS, np.int64)
+    counts = rows.select("_set").mapInArrow(_cells, "_cell long, _n long").groupBy("_cell").agg(F.sum("_n").alias("n"))
+    for cell, n in counts.collect():  # CELLS rows at most
+        often[cell] = n
+    met = rows.mapInArrow(lambda batches: _prefixes(batches, often, share), "_rid long, _root long, _item long")
+    met = write_out(met)
+    several = met.groupBy("_item").agg(F.min("_root").alias("_l"), F.max("_root").alias("_g")).where("_l < _g")
+    by_root = met.join(several.select("_item"), "_item", "left_semi").groupBy("_item", "_root").agg(F.count("*").alias("n"))
+    main = write_out(by_root.groupBy("_item").agg(F.max_by("_root", F.struct("n", "_root")).alias("_main")))
+    left = met.join(main, "_item")
+    right = left.where("_root <> _main").select("_item", F.col("_rid").alias("_rid_b"), F.col("_root").alias("_root_b"))
+    pairs = (
+        left.join(right, "_item").where("_root <> _root_b and (_root = _main or _rid > _rid_b)")
+        .select(F.greatest("_rid", "_rid_b").alias("_a"), F.least("_rid", "_rid_b").alias("_b")).distinct()
     )
-    other = rows.select("_key", *[F.col(c).alias(f"{c}_b") for c in rows.columns if c != "_key"])
+    own, other = (maps.select(*[F.col(c).alias(f"{c}{x}") for c in ("_rid", "n_shingles", "_map")]) for x in ("_1", "_2"))
     return (
-        rows.join(other, "_key")
+        pairs.join(own, F.col("_a") == F.col("_rid_1")).join(other, F.col("_b") == F.col("_rid_2"))
         .where(
-            "_rid > _rid_b and _root <> _root_b"
-            f" and 100 * least(n_shingles, n_shingles_b) >= {share} * greatest(n_shingles, n_shingles_b)"
-            f" and {100 + share} * aggregate(zip_with(_map, _map_b, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)"
-            f" <= {100 - share} * (n_shingles + n_shingles_b)"
-            " and element_at(filter(zip_with(_keys, _keys_b, (x, y) -> if(x = y, x, null)), x -> x is not null), 1) = _key"
+            f"100 * least(n_shingles_1, n_shingles_2) >= {share} * greatest(n_shingles_1, n_shingles_2)"
+            f" and {100 + share} * aggregate(zip_with(_map_1, _map_2, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)"
+            f" <= {100 - share} * (n_shingles_1 + n_shingles_2)"
         )
-        .select(F.col("_rid").alias("_a"), F.col("_rid_b").alias("_b"))
+        .select("_a", "_b")
     )
 
 
 def link_classes(spark: SparkSession, nodes: DataFrame, sets_of, share: int) -> DataFrame:
-    """Root of every linked row of ``nodes`` (``_rid``, ``n_shingles``, ``_keys``)."""
+    """Root of every linked row of ``nodes`` (``_rid``, ``n_shingles``, ``_keys``, ``_map``)."""
     rows = nodes.select("_rid", F.explode("_keys").alias("_key"))
     shared = rows.groupBy("_key").agg(F.count("*").alias("_k")).where("_k > 1").select("_key")
     members = write_out(
@@ -218,18 +266,26 @@ def link_classes(spark: SparkSession, nodes: DataFrame, sets_of, share: int) ->
         F.array_distinct(F.array(*[F.struct(f"_c{i}._rid", f"_c{i}.n_shingles") for i in range(STARS)])).alias("_centers"),
     )
     sets = write_out(sets_of(members.select("_rid").distinct()))
-    pairs = (
+    # of its centers, at most STARS a band, a row tries those it shares most bands with
+    met = (
         members.join(centers, "_key").select("_rid", "n_shingles", F.explode("_centers").alias("_c"))
         .where(f"_rid <> _c._rid and 100 * least(n_shingles, _c.n_shingles) >= {share} * greatest(n_shingles, _c.n_shingles)")
-        .select(F.greatest("_rid", "_c._rid").alias("_a"), F.least("_rid", "_c._rid").alias("_b")).distinct()
+        .groupBy("_rid", F.col("_c._rid").alias("_center")).agg(F.count("*").alias("_bands"))
+    )
+    tried = met.groupBy("_rid").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct((-F.col("_bands")).alias("m"), "_center"))), 1, TRIED).alias("_best")
+    )
+    pairs = (
+        tried.select("_rid", F.explode("_best._center").alias("_center"))
+        .select(F.greatest("_rid", "_center").alias("_a"), F.least("_rid", "_center").alias("_b")).distinct()
     )
     links = write_out(confirm(pairs, sets, share))
     roots = write_out(components(links))
-    more = confirm(open_pairs(members, nodes.select("_rid", "n_shingles", "_keys", "_map"), roots, share), sets, share)
+    more = confirm(open_pairs(members, nodes.select("_rid", "n_shingles", "_map"), sets, roots, share), sets, share)
     more = write_out(more)
     if more.isEmpty():
         return roots
-    return components(links.union(more))
+    return components(roots.select(F.col("_rid").alias("_a"), F.col("_root").alias("_b")).union(more))
 
 
 def near_duplicates(docs: DataFrame, share: int = 75, size: int = SHINGLE) -> DataFrame:

@@ -89,6 +89,54 @@ def test_links_that_stars_miss_are_found_by_rare_shingles(spark, monkeypatch):
     assert found == sorted(plain_components(rows), key=repr)
 
 
+def counted(spark, monkeypatch, rows):
+    """Rows of near_duplicates, the links found, and the pairs the exact step compares."""
+    found = {}
+    confirm, linked = md.confirm, md.components
+
+    def pairs_in(pairs, sets, share):
+        pairs = md.write_out(pairs)
+        found.setdefault("pairs", []).append(pairs.count())
+        return confirm(pairs, sets, share)
+
+    def links_in(links):
+        found.setdefault("links", []).append(links.distinct().count())
+        return linked(links)
+
+    monkeypatch.setattr(md, "confirm", pairs_in)
+    monkeypatch.setattr(md, "components", links_in)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    out = rows_of(md.near_duplicates(docs), "doc_id", "n_shingles", "component_id", "kept")
+    return out, found
+
+
+def test_links_and_pairs_of_a_large_group_grow_with_its_rows(spark, monkeypatch):
+    """Near copies have a few links each, and unlinked documents on one template meet nowhere."""
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+    for n in (300, 600):
+        near = []
+        for i in range(n):
+            copy = list(base)
+            for place in rng.choice(120, 1):
+                copy[place] = f"e{i}x{place}"
+            near.append((i, " ".join(copy)))
+        out, found = counted(spark, monkeypatch, near)
+        monkeypatch.undo()
+        assert {r[2] for r in out} == {0}
+        assert found["links"][0] <= 4 * n and sum(found["pairs"]) <= 5 * n
+        apart = []
+        for i in range(n):
+            copy = list(base)
+            for place in rng.choice(24, 7, replace=False) * 5:
+                copy[place] = f"e{i}x{place}"
+            apart.append((i, " ".join(copy)))
+        out, found = counted(spark, monkeypatch, apart)
+        monkeypatch.undo()
+        assert out == sorted(plain_components(apart), key=repr) or n > 300
+        assert all(r[3] for r in out) and sum(found["pairs"]) <= 5 * n
+
+
 def test_bins_agree_as_often_as_sets(spark):
     """Densified signatures estimate the Jaccard similarity, also of sets smaller than the bins."""
     rng = np.random.default_rng(1)
