@@ -28,7 +28,7 @@ from slotwise.llm.tables import numbered, read, without, write_out
 
 SHINGLE, BANDS, ROWS = 5, 51, 5
 STARS, TRIED = 8, 4
-CELLS = 2**20
+CELLS = 2**18
 MAP_BITS = 1024
 OUT = ("n_shingles", "component_id", "kept", "first_row")
 
@@ -223,10 +223,10 @@ def open_pairs(members: DataFrame, maps: DataFrame, sets: DataFrame, roots: Data
     mixed = placed.groupBy("_key").agg(F.min("_root").alias("_l"), F.max("_root").alias("_g")).where("_l < _g")
     rows = placed.join(mixed.select("_key"), "_key", "left_semi").select("_rid", "_root").distinct()
     rows = write_out(rows.join(sets, "_rid"))
-    often = np.zeros(CELLS, np.int64)
+    often = np.zeros(CELLS, np.int32)
     counts = rows.select("_set").mapInArrow(_cells, "_cell long, _n long").groupBy("_cell").agg(F.sum("_n").alias("n"))
-    for cell, n in counts.collect():  # CELLS rows at most
-        often[cell] = n
+    counts = counts.toArrow()  # CELLS rows at most
+    often[counts.column("_cell").to_numpy()] = np.minimum(counts.column("n").to_numpy(), 2**31 - 1)
     met = rows.mapInArrow(lambda batches: _prefixes(batches, often, share), "_rid long, _root long, _item long")
     met = write_out(met)
     several = met.groupBy("_item").agg(F.min("_root").alias("_l"), F.max("_root").alias("_g")).where("_l < _g")
