@@ -193,17 +193,20 @@ def cell_of(items: np.ndarray) -> np.ndarray:
 def _prefixes(batches: Iterator[pa.RecordBatch], often: np.ndarray, share: int) -> Iterator[pa.RecordBatch]:
     """The rarest items of each set, as many as a similar set must meet one of."""
     for batch in batches:
-        items, rows = [], []
+        items, rows, places, sizes = [], [], [], []
         for i, blob in enumerate(batch.column("_set")):
             own = np.frombuffer(blob.as_buffer(), np.uint64)
             n = len(own) - -(-share * len(own) // 100) + 1
             items.append(own[np.lexsort((own, often[cell_of(own)]))[:n]])
             rows.append(np.full(len(items[-1]), i))
+            places.append(np.arange(len(items[-1])))
+            sizes.append(np.full(len(items[-1]), len(own)))
         if not rows:
             continue
         kept = batch.drop_columns(["_set"]).take(pa.array(np.concatenate(rows)))
         yield pa.RecordBatch.from_arrays(
-            [*kept.columns, pa.array(np.concatenate(items).view(np.int64))], [*kept.schema.names, "_item"]
+            [*kept.columns, *[pa.array(np.concatenate(x).view(np.int64)) for x in (items, places, sizes)]],
+            [*kept.schema.names, "_item", "_at", "_n"],
         )
 
 
@@ -216,8 +219,8 @@ def open_pairs(members: DataFrame, maps: DataFrame, sets: DataFrame, roots: Data
     and one. The order is by how often an item's cell occurs in the open
     buckets, so documents on one template, which share only what all have, do
     not meet. Where they meet, the rows of the component most common there are
-    paired with the others only. Sizes and parity maps then drop pairs that
-    cannot have enough in common; neither step loses a pair.
+    paired with the others only. Sizes, the item's place in both orders and
+    parity maps drop pairs that cannot have enough in common; no step loses a pair.
     """
     placed = members.select("_key", "_rid").join(roots, "_rid", "left").withColumn("_root", F.coalesce("_root", "_rid"))
     mixed = placed.groupBy("_key").agg(F.min("_root").alias("_l"), F.max("_root").alias("_g")).where("_l < _g")
@@ -227,26 +230,27 @@ def open_pairs(members: DataFrame, maps: DataFrame, sets: DataFrame, roots: Data
     counts = rows.select("_set").mapInArrow(_cells, "_cell long, _n long").groupBy("_cell").agg(F.sum("_n").alias("n"))
     counts = counts.toArrow()  # CELLS rows at most
     often[counts.column("_cell").to_numpy()] = np.minimum(counts.column("n").to_numpy(), 2**31 - 1)
-    met = rows.mapInArrow(lambda batches: _prefixes(batches, often, share), "_rid long, _root long, _item long")
+    met = rows.mapInArrow(
+        lambda batches: _prefixes(batches, often, share), "_rid long, _root long, _item long, _at long, _n long"
+    )
     met = write_out(met)
     several = met.groupBy("_item").agg(F.min("_root").alias("_l"), F.max("_root").alias("_g")).where("_l < _g")
-    by_root = met.join(several.select("_item"), "_item", "left_semi").groupBy("_item", "_root").agg(F.count("*").alias("n"))
-    main = write_out(by_root.groupBy("_item").agg(F.max_by("_root", F.struct("n", "_root")).alias("_main")))
+    met = write_out(met.join(several.select("_item"), "_item", "left_semi").join(maps.select("_rid", "_map"), "_rid"))
+    by_root = met.groupBy("_item", "_root").agg(F.count("*").alias("n"))
+    main = by_root.groupBy("_item").agg(F.max_by("_root", F.struct("n", "_root")).alias("_main"))
     left = met.join(main, "_item")
-    right = left.where("_root <> _main").select("_item", F.col("_rid").alias("_rid_b"), F.col("_root").alias("_root_b"))
-    pairs = (
-        left.join(right, "_item").where("_root <> _root_b and (_root = _main or _rid > _rid_b)")
-        .select(F.greatest("_rid", "_rid_b").alias("_a"), F.least("_rid", "_rid_b").alias("_b")).distinct()
-    )
-    own, other = (maps.select(*[F.col(c).alias(f"{c}{x}") for c in ("_rid", "n_shingles", "_map")]) for x in ("_1", "_2"))
+    right = left.where("_root <> _main").select("_item", *[F.col(c).alias(f"{c}_b") for c in ("_rid", "_root", "_at", "_n", "_map")])
+    least = f"ceil({share} * (_n + _n_b) / {100 + share})"  # items in common that the pair needs
     return (
-        pairs.join(own, F.col("_a") == F.col("_rid_1")).join(other, F.col("_b") == F.col("_rid_2"))
+        left.join(right, "_item")
         .where(
-            f"100 * least(n_shingles_1, n_shingles_2) >= {share} * greatest(n_shingles_1, n_shingles_2)"
-            f" and {100 + share} * aggregate(zip_with(_map_1, _map_2, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)"
-            f" <= {100 - share} * (n_shingles_1 + n_shingles_2)"
+            "_root <> _root_b and (_root = _main or _rid > _rid_b)"
+            f" and 100 * least(_n, _n_b) >= {share} * greatest(_n, _n_b)"
+            f" and _at <= _n - {least} and _at_b <= _n_b - {least}"
+            f" and {100 + share} * aggregate(zip_with(_map, _map_b, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)"
+            f" <= {100 - share} * (_n + _n_b)"
         )
-        .select("_a", "_b")
+        .select(F.greatest("_rid", "_rid_b").alias("_a"), F.least("_rid", "_rid_b").alias("_b")).distinct()
     )
 
 
@@ -281,7 +285,7 @@ def link_classes(spark: SparkSession, nodes: DataFrame, sets_of, share: int) ->
     )
     links = write_out(confirm(pairs, sets, share))
     roots = write_out(components(links))
-    more = confirm(open_pairs(members, nodes.select("_rid", "n_shingles", "_map"), sets, roots, share), sets, share)
+    more = confirm(open_pairs(members, nodes.select("_rid", "_map"), sets, roots, share), sets, share)
     more = write_out(more)
     if more.isEmpty():
         return roots
