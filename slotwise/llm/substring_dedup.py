@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from slotwise.llm.arrays import BASE_1, BASE_2, SPACES, Words, binary_rows, cover, joined
@@ -177,7 +178,28 @@ def _candidates(docs: pa.Table, replies: pa.Table, window: int, block: int, buck
     return pa.concat_tables([out, own])
 
 
-def _cut(docs: pa.Table, replies: pa.Table, window: int, buckets: int) -> pa.Table:
+def _without(words: Words, texts: pa.ChunkedArray, gone: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> pa.Array:
+    """Texts less the bytes from each removed run to the next word, or back to the word before a last run."""
+    out, raw = {}, words.bytes.tobytes()
+    first, offsets = words.first, words.offsets
+    row = words.doc[begin] if len(begin) else np.zeros(0, np.int64)
+    for i in np.unique(row).tolist():
+        at, kept = int(offsets[i]), []
+        end = int(offsets[i + 1]) - 1
+        for b, e in zip(begin[row == i].tolist(), stop[row == i].tolist(), strict=True):
+            if e < first[i + 1]:
+                kept.append(raw[at : words.start[b]])
+                at = int(words.start[e])
+            else:
+                kept.append(raw[at : words.end[b - 1]] if b > first[i] else b"")
+                at = end
+        out[i] = b"".join([*kept, raw[at:end]]).decode()
+    changed = np.zeros(len(texts), bool)
+    changed[list(out)] = True
+    return pc.replace_with_mask(texts.combine_chunks(), pa.array(changed), pa.array(list(out.values()), pa.string()))
+
+
+def _cut(docs: pa.Table, replies: pa.Table, window: int, buckets: int, cut_text: bool) -> pa.Table:
     """The chunk's documents without the words of repeated windows."""
     words = Words(docs.column("text"), SPACES)
     chunk = docs.column("_chunk")[0].as_py()
@@ -207,22 +229,26 @@ def _cut(docs: pa.Table, replies: pa.Table, window: int, buckets: int) -> pa.Tab
             [pa.array(begin - base, pa.int64()), pa.array(stop - base, pa.int64())], ["first", "end"]
         ),
     )
-    return (
+    out = (
         docs.drop_columns(["_chunk", "text"])
         .append_column("kept_text", joined(words, ~gone))
         .append_column("n_words", pa.array(words.count, pa.int64()))
         .append_column("n_removed", pa.array(removed, pa.int64()))
         .append_column("removed_spans", spans)
     )
+    return out.append_column("cut_text", _without(words, docs.column("text"), gone, begin, stop)) if cut_text else out
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, cut_text: bool = False) -> DataFrame:
     """Each document without the words of any ``window``-word passage that occurs elsewhere.
 
     Words are runs of bytes other than space, tab and line ends. Returns the
     columns of ``docs`` but ``text``, and ``kept_text`` (kept words joined by
     one space), ``n_words``, ``n_removed`` and ``removed_spans`` (word numbers
-    first and end, end excluded). Input columns with those names give way.
+    first and end, end excluded). With ``cut_text`` also a column of that name: the
+    text as it was, less each removed run of words and the space after it; a text
+    that loses nothing stays byte for byte, and a null stays null. Input columns
+    with those names give way.
 
     A null or empty text has no words and an empty ``kept_text``. A repeated
     row is another document: its windows occur elsewhere and go. Null ids and
@@ -232,7 +258,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     block = (window + 1) // 2
     total = text_bytes(docs)
     chunks, buckets = shares(total, CHUNK_BYTES), shares(total, BUCKET_BYTES)
-    names = ("_chunk", "kept_text", "n_words", "n_removed", "removed_spans")
+    names = ("_chunk", "kept_text", "n_words", "n_removed", "removed_spans", *(["cut_text"] if cut_text else []))
     dealt = without(docs, *names)
     dealt = dealt.withColumn("_chunk", chunk_of(chunks, "text", *([c for c in dealt.columns if c == "doc_id"])))
     by_chunk = dealt.groupBy("_chunk")
@@ -244,7 +270,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return _candidates(table, replies, window, block, buckets)
 
     def cut(table: pa.Table, replies: pa.Table) -> pa.Table:
-        return _cut(table, replies, window, buckets)
+        return _cut(table, replies, window, buckets, cut_text)
 
     anchors = by_chunk.applyInArrow(probes, PROBE).groupBy("_bucket").applyInArrow(_answers, REPLY)
     compared = (
@@ -255,17 +281,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
         + ["kept_text string, n_words long, n_removed long, removed_spans array<struct<first:long,end:long>>"]
+        + (["cut_text string"] if cut_text else [])
     )
     return by_chunk.cogroup(compared.groupBy("_chunk")).applyInArrow(cut, schema)
 
 
 def op1_substring_dedup(spark, sf_dir):
-    """Per document: words, words removed, digest of the words kept."""
+    """Per document: words, words removed, digest of the words kept, and those words."""
     from slotwise.llm.tables import read
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select(
-        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "kept_text"
     )
 
 
@@ -287,6 +314,7 @@ WITH w AS (
   SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS k
   FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
 )
-SELECT n.doc_id, n_words, n_words - coalesce(k, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+SELECT n.doc_id, n_words, n_words - coalesce(k, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256,
+  coalesce(kept, '') AS kept_text
 FROM n LEFT JOIN kept ON n.doc_id = kept.doc_id
 """

@@ -35,6 +35,28 @@ def test_spans_are_the_removed_words(docs, corpus):
             assert [p for s in spans for p in range(s["first"], s["end"])] == wanted[doc_id]
 
 
+def test_cut_texts_hold_the_kept_words_and_all_else_stays(docs, corpus):
+    texts = {r[0]: r[1] for r in corpus}
+    for r in remove_repeats(docs, cut_text=True).collect():
+        cut = r["cut_text"]
+        assert " ".join(re.findall(r"[^\x20\x09-\x0D]+", cut or "")) == r["kept_text"]
+        if r["doc_id"] is not None and not r["n_removed"]:
+            assert cut == texts[r["doc_id"]]
+        elif r["doc_id"] is not None and cut:
+            # what is left are pieces of the text, in order, with their own space
+            lines = texts[r["doc_id"]].count("\n")
+            assert cut.count("\n") <= lines and cut[0] == texts[r["doc_id"]][0] or r["removed_spans"][0]["first"] == 0
+
+
+def test_a_removed_line_leaves_the_others_alone(spark):
+    line = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, f"one  two\n{line}\n\tthree\nfour "), (2, f"{line} five"), (3, f" six {line}"), (4, line), (5, None), (6, " a  b\n")]
+    found = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), cut_text=True).collect()
+    assert {r["doc_id"]: r["cut_text"] for r in found} == {
+        1: "one  two\nthree\nfour ", 2: "five", 3: " six", 4: "", 5: None, 6: " a  b\n",
+    }
+
+
 def test_repeats_of_many_chunks(spark, corpus, monkeypatch):
     from slotwise.llm import substring_dedup
 
