@@ -26,10 +26,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the words of passages that occur elsewhere."""
-    cut = substring_dedup.remove_repeats(docs)
-    cut = cut.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long"))
-    return cut.select(docs.columns)
+    """All documents, without passages that occur elsewhere; the rest of each text stays as it is."""
+    cut = substring_dedup.remove_repeats(docs, cut_text=True).withColumn("text", F.col("cut_text"))
+    shorter = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", shorter).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
