@@ -30,7 +30,7 @@ from slotwise.llm.language_id import held_out
 from slotwise.llm.tables import read, without
 
 FIT_TOXIC, FIT_CLEAN = 6000, 12000
-LEXICON, LEAST_RATIO = 4000, 6.0
+LEAST_SHARE, LEAST_RATIO = 0.01, 6.0
 PREFIXES = (3, 4, 5, 6, 7, 8)
 LEVELS = 3
 MAP_BITS = 22
@@ -191,13 +191,15 @@ def restore(column: pa.Array, costs: np.ndarray) -> pa.Array:
     # one sign at the end of a word is punctuation
     last = data[words.end - 1]
     flagged &= ~((joined == 1) & signs[last] & ~triple[words.end - 1] & (flag[words.end] - flag[words.start] == 1))
-    # runs of single letters; signs of one byte between them belong to the run
-    single = (words.end - words.start == 1) & (is_letter[words.start] | signs[data[words.start]])
+    # runs of single letters of any script; signs between them belong to the run
+    begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    single = (begins[words.end] - begins[words.start] == 1) & (is_letter[words.start] | signs[data[words.start]])
     change = np.flatnonzero(np.diff(single.astype(np.int8), prepend=0, append=0))
     spans = []
     for a, b in zip(change[::2], change[1::2], strict=True):
         for c, d in _inside_rows(words, a, b):
-            if d - c >= 4 and is_letter[words.start[c:d]].any():
+            # one letter said over and over spells nothing
+            if d - c >= 3 and is_letter[words.start[c:d]].any() and len(np.unique(words.hash[c:d])) > 1:
                 spans.append((c, d))
     for i in np.flatnonzero(flagged & ~single):
         spans.append((int(i), int(i) + 1))
@@ -215,7 +217,7 @@ def restore(column: pa.Array, costs: np.ndarray) -> pa.Array:
         new = found[token]
         if b - a > 1:
             # a run may begin with a word of one letter: both readings are given
-            new = new + b" " + new[1:]
+            new = new + b" " + new.decode(errors="ignore")[1:].encode()
         by_row.setdefault(int(words.doc[a]), []).append((int(words.start[a]), int(words.end[b - 1]), new))
     for row, cuts in by_row.items():
         base, end = int(words.offsets[row]), int(words.offsets[row + 1]) - 1
@@ -382,7 +384,8 @@ def fit(docs: DataFrame, labelled: DataFrame) -> ToxicityModel:
         .withColumn("half", F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(2)))
     )
     words_half, model_half = texts.where("half = 0").select("text", "toxic"), texts.where("half = 1").select("text", "toxic")
-    least = max(4, 0.01 * min(FIT_TOXIC, sizes.get(1, 0)) / 2)
+    n = {r["toxic"]: r["n"] for r in words_half.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    least = LEAST_SHARE * n.get(1, 0)
 
     def counted(rows: DataFrame, wanted: np.ndarray | None) -> DataFrame:
         out = rows.mapInArrow(lambda b: _feature_counts(b, costs, wanted), "h long, level long, toxic long, n long")
@@ -398,12 +401,13 @@ def fit(docs: DataFrame, labelled: DataFrame) -> ToxicityModel:
     wanted = np.zeros(2**MAP_BITS, bool)
     for (slot,) in slots.toLocalIterator():  # at most 2^22 slots
         wanted[slot] = True
-    n = {r["toxic"]: r["n"] for r in words_half.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     odds = F.log((F.col("t") + 0.5) / (n.get(1, 0) + 1)) - F.log((F.col("c") + 0.5) / (n.get(0, 0) + 1))
-    chosen = (
-        counted(words_half, wanted).withColumn("w", odds).where((F.col("t") >= least) & (F.col("w") >= float(np.log(LEAST_RATIO))))
-        .orderBy((F.col("t") * F.col("w")).desc(), "h", "level").limit(LEXICON)
+    # odds that hold after one standard error, so that few sightings prove nothing at any size
+    doubt = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
+    chosen = counted(words_half, wanted).withColumn("w", odds).where(
+        (F.col("t") >= least) & (F.col("w") - doubt >= float(np.log(LEAST_RATIO)))
     )
+    # the sample bounds the features: each is in a hundredth of at most FIT_TOXIC texts
     rows = chosen.select("h", "level", "w").collect()
     hashes = np.unique(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
     weights = np.zeros((max(len(hashes), 1), LEVELS))

@@ -88,6 +88,13 @@ def test_plain_text_stays_and_runs_are_joined(costs):
     assert found[4:] == ["été", "x x x "]
 
 
+def test_runs_of_letters_of_any_script_and_of_three(costs):
+    found = tx.restore(pa.array(["so b l ö d ist", "e s t ú p i d o", "b a d", "é c o l e", "a b", "o o o o"]), costs).to_pylist()
+    for text, word in zip(found, ("blöd", "estúpido", "bad", "école"), strict=False):
+        assert word in text.split()
+    assert found[4:] == ["a b", "o o o o"]
+
+
 def plain_decode(token, costs):
     """All readings of a short token, compared one by one."""
     (states, cost), letter = tx._readings(), tx._letter_states()
