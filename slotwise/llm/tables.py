@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -24,6 +25,18 @@ def write_out(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Plans made and run inside send workers at most ``rows`` rows at once; whole texts make batches large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """Rows written with a number each that is unique and stays as written."""
     return write_out(df.withColumn(name, F.monotonically_increasing_id()))
