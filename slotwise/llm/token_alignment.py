@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from slotwise.llm.arrays import BASE_1, BASE_2, binary_rows, mix, powers, text_buffers
 from slotwise.llm.tables import BUCKET_BYTES, arrow_rows, read, shares, text_bytes, without, write_out
 
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 2_000_000
 ARROW_ROWS = 2000
-OUT_ROWS = 256
+OUT_ROWS = 64
 BATCH = 1024
 FAN = 32
-GROUP_CHUNKS = 700
+GROUP_CHUNKS = 1024
 BUCKETS = 4096  # buckets hold whole second ids, of which there are a few ten thousand
 OUT = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
 ENTRIES = "_chunk long, _bucket long, _group long, _keys binary, _counts binary"
@@ -432,6 +432,7 @@ def _scored(docs: pa.Table, answers: pa.Table, paths: tuple[str, str]) -> pa.Tab
         aligned.n_a, aligned.n_b, np.diff(aligned.group_ends, prepend=0),
         aligned.per_unit(np.ones(len(known), np.int64)), aligned.per_unit(link_top), aligned.per_unit(link_count),
     ]
+    del keys, counts, top, at, known, link_count, link_top, aligned.link_key, aligned.link_unit
     out = docs.drop_columns(["_chunk", "text"])
     for name, of_unit in zip(OUT, values, strict=False):
         out = out.append_column(name, pa.array(np.where(aligned.valid, aligned.sums(of_unit), 0)))
@@ -492,7 +493,7 @@ def align(
     with arrow_rows(docs.sparkSession, ARROW_ROWS):
         dealt = write_out(base.mapInArrow(lambda b: _dealt(b, chunk_bytes), ", ".join([*fields, "_chunk long"])))
     total = text_bytes(dealt)
-    # a chunk asks for about 130 kilobytes of pairs
+    # a chunk asks for about 100 kilobytes of pairs
     buckets, groups = min(shares(total, 16 * BUCKET_BYTES), BUCKETS), shares(total, chunk_bytes * group_chunks)
     with arrow_rows(docs.sparkSession, ARROW_ROWS):
         entries = write_out(
