@@ -18,6 +18,7 @@ documents again and takes the counts that their chunk asked for.
 from __future__ import annotations
 
 import gc
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -213,7 +214,7 @@ class Aligned:
         np.add.at(counts, number, times[self.link_unit])
         return keys[counts > 0], counts[counts > 0]
 
-    def group_texts(self) -> list[str]:
+    def group_texts(self) -> Iterator[str]:
         """Per text, its groups as ``a1,a2|b1;a3|b2,b3``; each distinct group is written once."""
         to_a, to_b = np.searchsorted(self.end_a, self.cuts) + 1, np.searchsorted(self.end_b, self.cuts) + 1
         from_a, from_b = np.concatenate([[0], to_a[:-1]]), np.concatenate([[0], to_b[:-1]])
@@ -237,10 +238,8 @@ class Aligned:
         at = np.repeat((self.group_ends - many)[self.units] - before, each) + np.arange(each.sum())
         groups = number[at]
         ends = np.concatenate([[0], np.cumsum(each)])[self.first].tolist()
-        return [
-            ";".join(map(written.__getitem__, groups[i:j].tolist())) if ok else ""
-            for ok, i, j in zip(self.valid, ends[:-1], ends[1:], strict=True)
-        ]
+        for ok, i, j in zip(self.valid, ends[:-1], ends[1:], strict=True):
+            yield ";".join(map(written.__getitem__, groups[i:j].tolist())) if ok else ""
 
 
 def _runs(ids: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
@@ -413,7 +412,7 @@ def _answers(rows: pa.Table, table: pa.Table) -> pa.Table:
     )
 
 
-def _scored(docs: pa.Table, answers: pa.Table, paths: tuple[str, str]) -> pa.Table:
+def _scored(docs: pa.Table, answers: pa.Table, paths: tuple[str, str], digest: bool = False) -> pa.Table:
     """Second pass: the chunk's documents aligned again, with the counts of their links."""
     pa.default_memory_pool().release_unused()  # the allocator keeps what earlier chunks freed
     aligned = Aligned(docs.column("text"), paths)
@@ -436,7 +435,10 @@ def _scored(docs: pa.Table, answers: pa.Table, paths: tuple[str, str]) -> pa.Tab
     out = docs.drop_columns(["_chunk", "text"])
     for name, of_unit in zip(OUT, values, strict=False):
         out = out.append_column(name, pa.array(np.where(aligned.valid, aligned.sums(of_unit), 0)))
-    out = out.append_column("groups", pa.array(aligned.group_texts(), pa.string()))
+    if digest:
+        hashes = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in aligned.group_texts()]
+        return out.append_column("groups_sha256", pa.array(hashes, pa.string()))
+    out = out.append_column("groups", pa.array(list(aligned.group_texts()), pa.string()))
     return pa.Table.from_batches(out.to_batches(max_chunksize=OUT_ROWS), out.schema)
 
 
@@ -469,7 +471,8 @@ def _for_groups(table: DataFrame, groups: int) -> DataFrame:
 
 
 def align(
-    docs: DataFrame, path_a: str, path_b: str, chunk_bytes: int = CHUNK_BYTES, group_chunks: int = GROUP_CHUNKS
+    docs: DataFrame, path_a: str, path_b: str, digest: bool = False, chunk_bytes: int = CHUNK_BYTES,
+    group_chunks: int = GROUP_CHUNKS,
 ) -> DataFrame:
     """Each document with its tokens of both tokenizers aligned and counted.
 
@@ -479,16 +482,18 @@ def align(
     Returns the columns of ``docs`` but ``text``, and ``n_a``, ``n_b``,
     ``n_groups``, ``n_links``, ``n_best`` (links whose corpus-wide count is the
     highest of their second id, ties included), ``count_sum`` (those counts
-    over all links) and ``groups`` (``a1,a2|b1;a3|b2,b3`` in order).
+    over all links) and ``groups`` (``a1,a2|b1;a3|b2,b3`` in order), or with
+    ``digest`` their ``groups_sha256`` instead, which spares moving texts several
+    times as long as the documents.
 
     A null or empty text, or one that either tokenizer does not give back byte
-    for byte, has no tokens: zeros and an empty ``groups``; its links count
+    for byte, has no tokens: zeros and an empty ``groups`` (and digest); its links count
     nowhere. A repeated row counts as often as it comes. Null ids and an empty
     table are allowed. Input columns with those names give way; others may have
     any name but ``_chunk``, which gives way too.
     """
     paths = (path_a, path_b)
-    base = without(docs, *OUT, "_chunk")
+    base = without(docs, *OUT, "groups_sha256", "_chunk")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields]
     with arrow_rows(docs.sparkSession, ARROW_ROWS):
         dealt = write_out(base.mapInArrow(lambda b: _dealt(b, chunk_bytes), ", ".join([*fields, "_chunk long"])))
@@ -505,10 +510,11 @@ def align(
         .applyInArrow(_answers, "_chunk long, _keys binary, _counts binary, _top binary")
     )
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name != "text"]
-    schema = ", ".join([*kept, *[f"{n} long" for n in OUT[:-1]], "groups string"])
+    last = "groups_sha256 string" if digest else "groups string"
+    schema = ", ".join([*kept, *[f"{n} long" for n in OUT[:-1]], last])
 
     def scored(rows: pa.Table, replies: pa.Table) -> pa.Table:
-        return _scored(rows, replies, paths)
+        return _scored(rows, replies, paths, digest)
 
     # a chunk without any pair has no answers; a reply alone cannot be
     return dealt.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(scored, schema)
@@ -519,6 +525,5 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     import public_tokenizers
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
-    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
-    return found.select("doc_id", *OUT[:-1], digest.alias("groups_sha256"))
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align(docs, *paths, digest=True).select("doc_id", *OUT[:-1], "groups_sha256")
