@@ -17,6 +17,7 @@ documents again and takes the counts that their chunk asked for.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import json
@@ -36,12 +37,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from slotwise.llm.arrays import BASE_1, BASE_2, binary_rows, mix, powers, text_buffers
 from slotwise.llm.tables import BUCKET_BYTES, arrow_rows, read, shares, text_bytes, without, write_out
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 3_000_000
 ARROW_ROWS = 2000
 OUT_ROWS = 64
 BATCH = 1024
 FAN = 32
-GROUP_CHUNKS = 1024
+GROUP_CHUNKS = 700
 BUCKETS = 4096  # buckets hold whole second ids, of which there are a few ten thousand
 OUT = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
 ENTRIES = "_chunk long, _bucket long, _group long, _keys binary, _counts binary"
@@ -284,6 +285,14 @@ class BitLevels:
         return out
 
 
+def give_back() -> None:
+    """Return memory that earlier chunks freed to the system; both allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _longs(rows: pa.Table, name: str) -> list[np.ndarray]:
     return [np.frombuffer(x, np.int64) for x in rows.column(name).to_pylist()]
 
@@ -314,7 +323,7 @@ def _entries(
         for start, end in zip(edges[:-1], edges[1:], strict=True):
             if start == end:
                 continue
-            pa.default_memory_pool().release_unused()  # the allocator keeps what earlier chunks freed
+            give_back()
             keys, counts = Aligned(pa.chunked_array([batch.column("text").slice(start, end - start)]), paths).pair_counts()
             bucket = (mix(keys.view(np.uint64) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -414,7 +423,7 @@ def _answers(rows: pa.Table, table: pa.Table) -> pa.Table:
 
 def _scored(docs: pa.Table, answers: pa.Table, paths: tuple[str, str], digest: bool = False) -> pa.Table:
     """Second pass: the chunk's documents aligned again, with the counts of their links."""
-    pa.default_memory_pool().release_unused()  # the allocator keeps what earlier chunks freed
+    give_back()
     aligned = Aligned(docs.column("text"), paths)
     keys = np.concatenate([np.zeros(0, np.int64), *_longs(answers, "_keys")])
     counts = np.concatenate([np.zeros(0, np.int64), *_longs(answers, "_counts")])
@@ -498,7 +507,7 @@ def align(
     with arrow_rows(docs.sparkSession, ARROW_ROWS):
         dealt = write_out(base.mapInArrow(lambda b: _dealt(b, chunk_bytes), ", ".join([*fields, "_chunk long"])))
     total = text_bytes(dealt)
-    # a chunk asks for about 100 kilobytes of pairs
+    # a chunk asks for about 130 kilobytes of pairs
     buckets, groups = min(shares(total, 16 * BUCKET_BYTES), BUCKETS), shares(total, chunk_bytes * group_chunks)
     with arrow_rows(docs.sparkSession, ARROW_ROWS):
         entries = write_out(
