@@ -17,8 +17,6 @@ documents again and takes the counts that their chunk asked for.
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import hashlib
 import json
 import re
@@ -132,15 +130,12 @@ def split_units(texts: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
     return values, first
 
 
-_encoders: dict[tuple[str, str], Encoders] = {}
-
-
 def encoders(paths: tuple[str, str]) -> Encoders:
-    """The tokenizers of a worker, loaded once."""
-    if paths not in _encoders:
-        _encoders[paths] = Encoders(*paths)
-        gc.freeze()  # the vocabularies stay; collections need not walk through them again
-    return _encoders[paths]
+    """The tokenizers of a worker, loaded once; this module is new to every task, the library is not."""
+    kept = tokenizers.__dict__.setdefault("_slotwise_encoders", {})
+    if paths not in kept:
+        kept[paths] = Encoders(*paths)
+    return kept[paths]
 
 
 class Aligned:
@@ -285,14 +280,6 @@ class BitLevels:
         return out
 
 
-def give_back() -> None:
-    """Return memory that earlier chunks freed to the system; both allocators keep it otherwise."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def _longs(rows: pa.Table, name: str) -> list[np.ndarray]:
     return [np.frombuffer(x, np.int64) for x in rows.column(name).to_pylist()]
 
@@ -323,7 +310,7 @@ def _entries(
         for start, end in zip(edges[:-1], edges[1:], strict=True):
             if start == end:
                 continue
-            give_back()
+            pa.default_memory_pool().release_unused()  # the allocator keeps what earlier chunks freed
             keys, counts = Aligned(pa.chunked_array([batch.column("text").slice(start, end - start)]), paths).pair_counts()
             bucket = (mix(keys.view(np.uint64) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -423,7 +410,7 @@ def _answers(rows: pa.Table, table: pa.Table) -> pa.Table:
 
 def _scored(docs: pa.Table, answers: pa.Table, paths: tuple[str, str], digest: bool = False) -> pa.Table:
     """Second pass: the chunk's documents aligned again, with the counts of their links."""
-    give_back()
+    pa.default_memory_pool().release_unused()  # the allocator keeps what earlier chunks freed
     aligned = Aligned(docs.column("text"), paths)
     keys = np.concatenate([np.zeros(0, np.int64), *_longs(answers, "_keys")])
     counts = np.concatenate([np.zeros(0, np.int64), *_longs(answers, "_counts")])
