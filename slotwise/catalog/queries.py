@@ -747,12 +747,7 @@ def stream_noshow_rate(spark, sf_dir):
 def stream_history(spark, sf_dir):
     path = _in_files(spark, sf_dir, "history-in", _periods(spark, sf_dir))
     source = stream_bookings(spark, path, files_per_trigger=2)
-    out = _run(
-        spark,
-        sf_dir,
-        "history",
-        lambda out, mark: history_stream(source, out, f"{out}-state", mark),
-    )
+    out = _run(spark, sf_dir, "history", lambda out, mark: history_stream(source, out, mark))
     return spark.read.parquet(out).drop("batch")
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from slotwise.functions.expr import noshow_int
 from slotwise.operators.history import customer_history
@@ -11,68 +14,107 @@ from slotwise.plans.dims import bounded
 from slotwise.streaming.io import for_each_batch
 
 C = F.col
-COMPACT_EVERY = 20
-_TOTALS = "customer_id string, visits long, noshows long"
+_TOTALS = "visits long, noshows long"
+_CUSTOMER = f"customer_id string, {_TOTALS}"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _CustomerTotals(StatefulProcessor):
+    """One value per customer in the state store; gives the totals before the batch."""
+
+    def __init__(self, keep_ms: int | None) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.totals = handle.getValueState("totals", _TOTALS, self.keep_ms)
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before = tuple(self.totals.get() or (0, 0))
+        visits, noshows = before
+        for row in rows:
+            visits, noshows = visits + row.visits, noshows + row.noshows
+        self.totals.update((visits, noshows))
+        yield Row(customer_id=key[0], visits=before[0], noshows=before[1])
 
-def _totals_before(spark, folder: str, number: int, every: int) -> DataFrame:
-    """Totals of all batches before ``number``: the last compaction plus the batches since."""
-    last = (number - 1) // every * every if number > 0 else 0
-    paths = [f"{folder}/upto={last}"] if last > 0 else []
-    paths += [f"{folder}/batch={i}" for i in range(last + 1 if last > 0 else 0, number)]
-    if not paths:
-        return spark.createDataFrame([], _TOTALS)
-    return spark.read.schema(_TOTALS).parquet(*paths)
+    def close(self) -> None:
+        pass
 
 
-def _summed(totals: DataFrame) -> DataFrame:
-    return totals.groupBy("customer_id").agg(
-        F.sum("visits").alias("visits"), F.sum("noshows").alias("noshows")
+def _partial_totals(batches):
+    """Totals per customer and Arrow batch, so that a busy customer sends few rows."""
+    for rows in batches:
+        grouped = rows.groupby("customer_id", sort=False)["noshows"]
+        yield grouped.agg(visits="size", noshows="sum").reset_index()
+
+
+def totals_before(rows: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """Per micro-batch one row per customer in it: the customer's totals of earlier batches."""
+    partial = rows.select("customer_id", noshow_int().cast("long").alias("noshows"))
+    return (
+        partial.mapInPandas(_partial_totals, _CUSTOMER)
+        .groupBy("customer_id")
+        .transformWithState(
+            _CustomerTotals(keep_ms), _CUSTOMER, "Append", "None" if keep_ms is None else "ProcessingTime"
+        )
     )
 
 
+@contextmanager
+def _state_settings(spark: SparkSession):
+    """A query copies the settings when it starts; the caller's are put back afterwards."""
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": _ROCKSDB,
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        # state that expires is removed by the next batch with data
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    }
+    old = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in old.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def history_stream(
-    bookings: DataFrame, path: str, state_folder: str, checkpoint: str, every: int = COMPACT_EVERY
+    bookings: DataFrame, path: str, checkpoint: str, keep_ms: int | None = None
 ) -> StreamingQuery:
     """Each booking with its customer's earlier visits and no-shows.
 
-    Inside a micro-batch bookings are ordered by (time, id) with the skew-proof
-    running sums; counts from earlier batches are added from per-batch totals, which
-    are compacted every ``every`` batches. All folders are numbered by batch, so a
-    repeated batch rewrites the same files. Exact when no booking arrives in a later
-    batch than one that follows it.
+    A customer's totals lie in the state store of the query, below ``checkpoint``; a
+    micro-batch reads and writes those of its own customers only. Inside a micro-batch
+    bookings are ordered by (time, id) with the skew-proof running sums, to which the
+    totals of earlier batches are added. Results are numbered by batch, so a repeated
+    batch, which starts from the same state, rewrites the same files. Exact when no
+    booking arrives in a later batch than one that follows it.
+
+    With ``keep_ms`` the totals of a customer without bookings for that many
+    milliseconds of processing time are removed, and the customer counts from 0 again.
     """
+    known = bookings.filter(C("customer_id").isNotNull())
+    rows = known.select(
+        "booking_id",
+        "customer_id",
+        "booking_datetime",
+        "outcome",
+        F.lit(None).cast("long").alias("visits"),
+        F.lit(None).cast("long").alias("noshows"),
+    )
+    both = rows.withColumn("is_booking", F.lit(True)).unionByName(
+        totals_before(known, keep_ms).withColumn("is_booking", F.lit(False)), allowMissingColumns=True
+    )
 
     def process(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.filter(C("customer_id").isNotNull()).select(
-            "booking_id", "customer_id", "booking_datetime", "outcome"
-        )
-        own = rows.groupBy("customer_id").agg(
-            F.count(F.lit(1)).alias("visits"), F.sum(noshow_int()).cast("long").alias("noshows")
-        )
-        own.write.mode("overwrite").parquet(f"{state_folder}/batch={number}")
-        before = _totals_before(spark, state_folder, number, every)
-
-        ids, few = bounded(
-            spark.read.schema(_TOTALS).parquet(f"{state_folder}/batch={number}").select("customer_id")
-        )
-        seen = _summed(before.join(F.broadcast(ids) if few else ids, "customer_id", "left_semi"))
-        placed = customer_history(rows)
-        carried = placed.join(F.broadcast(seen) if few else seen, "customer_id", "left").fillna(
-            0, ["visits", "noshows"]
-        )
-        carried.select(
+        placed = customer_history(batch.filter("is_booking").drop("visits", "noshows"))
+        seen, few = bounded(batch.filter("NOT is_booking").select("customer_id", "visits", "noshows"))
+        placed.join(F.broadcast(seen) if few else seen, "customer_id").select(
             "booking_id",
             "customer_id",
             (C("prior_visits") + C("visits")).alias("prior_visits"),
             (C("prior_noshows") + C("noshows")).alias("prior_noshows"),
         ).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-        if number > 0 and number % every == 0:
-            mine = spark.read.schema(_TOTALS).parquet(f"{state_folder}/batch={number}")
-            _summed(before.unionByName(mine)).write.mode("overwrite").parquet(
-                f"{state_folder}/upto={number}"
-            )
-
-    return for_each_batch(bookings, process, checkpoint)
+    with _state_settings(bookings.sparkSession):
+        return for_each_batch(both, process, checkpoint)

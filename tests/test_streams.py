@@ -2,6 +2,7 @@
 
 import os
 import shutil
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,8 +34,8 @@ def source(bookings, tmp_path_factory):
 def test_a_repeated_batch_changes_nothing(spark, source, tmp_path):
     """A run that stopped after its work but before its commit does the last batch again."""
     stream = stream_bookings(spark, source, files_per_trigger=1)
-    out, state, mark = (str(tmp_path / name) for name in ("out", "state", "mark"))
-    history_stream(stream, out, state, mark, 2).awaitTermination()
+    out, mark = (str(tmp_path / name) for name in ("out", "mark"))
+    history_stream(stream, out, mark).awaitTermination()
     first = sorted(tuple(r) for r in spark.read.parquet(out).collect())
     last = "4"
     shutil.copytree(
@@ -44,18 +45,15 @@ def test_a_repeated_batch_changes_nothing(spark, source, tmp_path):
         if folder.endswith("commits")
         else [],
     )
-    history_stream(stream, out, state, str(tmp_path / "again"), 2).awaitTermination()
+    history_stream(stream, out, str(tmp_path / "again")).awaitTermination()
     assert os.path.exists(tmp_path / "again" / "commits" / last)
     assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == first
 
 
-@pytest.mark.parametrize("every", [2, 20])
-def test_history_over_several_batches(spark, bookings, source, tmp_path, every):
+def test_history_over_several_batches(spark, bookings, source, tmp_path):
     stream = stream_bookings(spark, source, files_per_trigger=1)
     out = str(tmp_path / "out")
-    history_stream(
-        stream, out, str(tmp_path / "state"), str(tmp_path / "mark"), every
-    ).awaitTermination()
+    history_stream(stream, out, str(tmp_path / "mark")).awaitTermination()
     columns = ["booking_id", "prior_visits", "prior_noshows"]
     found = spark.read.parquet(out)
     assert found.select("batch").distinct().count() == 5
@@ -63,6 +61,45 @@ def test_history_over_several_batches(spark, bookings, source, tmp_path, every):
     assert found.select(columns).exceptAll(batch).count() == 0 and found.count() == batch.count()
 
 
+def _one_customer(make, path, *ids):
+    rows = [dict(booking_id=i, customer_id="one", outcome="No-Show") for i in ids]
+    make(*rows).coalesce(1).write.mode("append").parquet(path)
+
+
+def _found(spark, path):
+    rows = spark.read.parquet(path).collect()
+    return {r["booking_id"]: (r["prior_visits"], r["prior_noshows"]) for r in rows}
+
+
+def test_a_batch_reads_only_its_own_customers(spark, make, tmp_path):
+    path, out, mark = (str(tmp_path / name) for name in ("in", "out", "mark"))
+    make(*[dict(customer_id=f"C{i}") for i in range(500)]).coalesce(1).write.parquet(path)
+    _one_customer(make, path, "one-1")
+    history_stream(stream_bookings(spark, path), out, mark).awaitTermination()
+    _one_customer(make, path, "one-2", "one-3")
+    second = history_stream(stream_bookings(spark, path), out, mark)
+    second.awaitTermination()
+    (state,) = second.lastProgress["stateOperators"]
+    assert state["numRowsTotal"] == 501 and state["numRowsUpdated"] == 1
+    assert state["customMetrics"]["rocksdbGetCount"] <= 4
+    found = _found(spark, out)
+    assert [found[f"one-{i}"] for i in (1, 2, 3)] == [(0, 0), (1, 1), (2, 2)]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_totals_without_bookings_for_long_are_removed(spark, make, tmp_path):
+    path, out, mark = (str(tmp_path / name) for name in ("in", "out", "mark"))
+    left = []
+    for number, customers in enumerate(["AB", "C", "A"]):
+        rows = [dict(booking_id=f"{c}{number}", customer_id=c) for c in customers]
+        make(*rows).coalesce(1).write.mode("append").parquet(path)
+        query = history_stream(stream_bookings(spark, path), out, mark, keep_ms=1000)
+        query.awaitTermination()
+        left.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        time.sleep(2)
+    assert set(_found(spark, out).values()) == {(0, 0)} and left[1:] == [1, 1]
+
+
 def test_noshow_rate_of_closed_windows(spark, bookings, source, tmp_path):
     rates = noshow_rate_stream(stream_bookings(spark, source, files_per_trigger=1))
     write_stream(rates, str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
