@@ -33,7 +33,13 @@ from slotwise.sources.bookings import read_bookings, read_requests, write_bookin
 from slotwise.streaming.history import history_stream
 from slotwise.streaming.io import stream_bookings, stream_requests, write_stream
 from slotwise.streaming.monitoring import drift_stream, noshow_rate_stream
-from slotwise.streaming.scoring import HISTORY, enrich_stream, history_snapshot, score_stream
+from slotwise.streaming.scoring import (
+    HISTORY,
+    enrich_as_of_stream,
+    enrich_stream,
+    history_snapshot,
+    score_stream,
+)
 
 C = F.col
 Query = Callable[[SparkSession, str], DataFrame]
@@ -260,6 +266,28 @@ def customer_history(spark, sf_dir):
     )
 
 
+@query
+def requests_as_of(spark, sf_dir):
+    """Every request with its customer's counters at the moment it was made."""
+    all_bookings = tables.bookings(spark, sf_dir)
+    found = history.history_as_of(all_bookings, all_bookings, history.requested_at())
+    return found.select("booking_id", "customer_id", *HISTORY)
+
+
+@query
+def previous_visit(spark, sf_dir):
+    """Every request with the last visit before it was made."""
+    all_bookings = tables.bookings(spark, sf_dir)
+    visits = all_bookings.select(
+        "booking_id", "customer_id", "booking_datetime",
+        C("branch").alias("previous_branch"), C("outcome").alias("previous_outcome"),
+    )
+    return history.asof_join(
+        all_bookings, visits, ["customer_id"], history.requested_at(), C("booking_datetime"),
+        ["previous_branch", "previous_outcome"], ["booking_id"],
+    ).select("booking_id", "customer_id", "previous_branch", "previous_outcome")
+
+
 @query
 def customer_profiles(spark, sf_dir):
     return rounded(profiles.customer_profiles(tables.bookings(spark, sf_dir)))
@@ -760,6 +788,20 @@ def stream_enriched(spark, sf_dir):
     return spark.read.parquet(out).select("booking_id", "customer_id", *HISTORY)
 
 
+@query
+def stream_enriched_as_of(spark, sf_dir):
+    """Requests of the second period, each with the bookings before it was made."""
+    path = _in_files(spark, sf_dir, "as-of-in", [_periods(spark, sf_dir)[1]])
+    source, past = stream_bookings(spark, path), tables.bookings(spark, sf_dir)
+    out = _run(
+        spark,
+        sf_dir,
+        "as-of",
+        lambda out, mark: enrich_as_of_stream(source, past, history.requested_at(), out, mark),
+    )
+    return spark.read.parquet(out).select("booking_id", "customer_id", *HISTORY)
+
+
 @query
 def stream_scored(spark, sf_dir):
     model = tables.trained(spark, sf_dir)

@@ -1,16 +1,20 @@
-"""Ordered running sums that never put one large group into one task.
+"""Ordered running values that never put one large group into one task.
 
 A window over a key sorts all rows of that key in a single task, and a window
 without a key sorts the whole table there. Here keys with more than
 ``task_rows`` rows are found first, from a sample. All other rows
 use an ordinary window. Rows of the heavy keys are range partitioned on
-(key, order), so that one key spans many partitions; each partition sums its own
+(key, order), so that one key spans many partitions; each partition folds its own
 slice, and the totals of the slices before it, at most one row per partition and
-key, are added.
+key, are put before them. A scan says how: sums, largest values, or the last value
+that is not null.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slotwise.plans.materialize import materialize, written
@@ -19,6 +23,29 @@ TASK_ROWS = 1_000_000
 _SAMPLED_ROWS = 1000
 
 
+class Scan(NamedTuple):
+    """A running value: folded over rows, over a slice, and over earlier slices."""
+
+    running: Callable[[Column], Column]
+    total: Callable[[Column, Column], Column]  # of a slice, given the order of its rows
+    join: Callable[[Column, Column], Column]  # within the slice, before the slice
+    start: Callable[[Column], Column] = lambda value: value  # where no row came before
+
+
+SUM = Scan(
+    F.sum,
+    lambda value, _: F.sum(value),
+    lambda here, before: here + before,
+    lambda value: F.coalesce(value, F.lit(0)),
+)
+LARGEST = Scan(F.max, lambda value, _: F.max(value), lambda here, before: F.greatest(here, before))
+LAST = Scan(
+    lambda value: F.last(value, ignorenulls=True),
+    lambda value, place: F.max_by(value, F.when(value.isNotNull(), place)),
+    lambda here, before: F.coalesce(here, before),
+)
+
+
 def in_time() -> list:
     """Bookings of a key in order of time, undated ones last, the id deciding ties."""
     return [F.col("booking_datetime").asc_nulls_last(), "booking_id"]
@@ -61,24 +88,24 @@ def split_by_weight(
     return df.join(heavy, keys, "left_anti"), df.join(heavy, keys, "inner")
 
 
-def _window_sums(df: DataFrame, keys, order, sums: dict[str, Column]) -> DataFrame:
+def _window_scans(df: DataFrame, keys, order, scans: dict[str, tuple[Column, Scan]]) -> DataFrame:
     before = (
         Window.partitionBy(*keys)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return df.withColumns(
-        {name: F.coalesce(F.sum(value).over(before), F.lit(0)) for name, value in sums.items()}
+        {name: scan.start(scan.running(value).over(before)) for name, (value, scan) in scans.items()}
     )
 
 
-def _spread_sums(
-    df: DataFrame, keys, order, sums: dict[str, Column], rows: int, task_rows: int
+def _spread_scans(
+    df: DataFrame, keys, order, scans: dict[str, tuple[Column, Scan]], rows: int, task_rows: int
 ) -> DataFrame:
     """``rows`` of ``df`` are cut into slices of at most about ``task_rows``."""
     spark = df.sparkSession
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // task_rows))
-    terms = {f"_term_{name}": value for name, value in sums.items()}
+    terms = {f"_term_{name}": value for name, (value, _) in scans.items()}
     ranged = materialize(
         df.withColumns(terms)
         .repartitionByRange(parts, *keys, *order)
@@ -88,15 +115,21 @@ def _spread_sums(
 
     # one row per (slice, key): ranges are contiguous, so at most slices + keys rows
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    kinds = {name: scan for name, (_, scan) in scans.items()}
     offsets = (
         ranged.groupBy("_slice", *keys)
-        .agg(*[F.sum(f"_term_{name}").alias(f"_total_{name}") for name in sums])
+        .agg(
+            *[
+                scan.total(F.col(f"_term_{name}"), F.col("_seq")).alias(f"_total_{name}")
+                for name, scan in kinds.items()
+            ]
+        )
         .select(
             "_slice",
             *keys,
             *[
-                F.coalesce(F.sum(f"_total_{name}").over(earlier), F.lit(0)).alias(f"_offset_{name}")
-                for name in sums
+                scan.start(scan.running(F.col(f"_total_{name}")).over(earlier)).alias(f"_offset_{name}")
+                for name, scan in kinds.items()
             ],
         )
     )
@@ -105,12 +138,19 @@ def _spread_sums(
         .orderBy("_seq")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    summed = ranged.withColumns(
-        {name: F.coalesce(F.sum(f"_term_{name}").over(local), F.lit(0)) for name in sums}
+    scanned = ranged.withColumns(
+        {
+            name: scan.start(scan.running(F.col(f"_term_{name}")).over(local))
+            for name, scan in kinds.items()
+        }
     ).join(offsets, ["_slice", *keys], "inner")
-    return summed.withColumns({name: F.col(name) + F.col(f"_offset_{name}") for name in sums}).drop(
-        "_slice", "_seq", *terms, *[f"_offset_{name}" for name in sums]
-    )
+    return scanned.withColumns(
+        {name: scan.join(F.col(name), F.col(f"_offset_{name}")) for name, scan in kinds.items()}
+    ).drop("_slice", "_seq", *terms, *[f"_offset_{name}" for name in kinds])
+
+
+def _summing(sums: dict[str, Column]) -> dict[str, tuple[Column, Scan]]:
+    return {name: (value, SUM) for name, value in sums.items()}
 
 
 def prior_sums(
@@ -125,12 +165,26 @@ def prior_sums(
     ``order``, names or sort columns, must be a total order within a key; ``keys`` may
     be empty and must not be null. Columns named in ``sums`` are appended; no row is dropped.
     """
+    return prior_scans(df, keys, order, _summing(sums), task_rows)
+
+
+def prior_scans(
+    df: DataFrame,
+    keys: list[str],
+    order: list,
+    scans: dict[str, tuple[Column, Scan]],
+    task_rows: int = TASK_ROWS,
+) -> DataFrame:
+    """``prior_sums`` for any scan: ``{name: (value, SUM, LARGEST or LAST)}``.
+
+    Largest and last values are null where no row before has one.
+    """
     if not keys:
         rows = df.count()
         if rows <= task_rows:
-            return _window_sums(df, [], order, sums)
-        return _spread_sums(df, [], order, sums, rows, task_rows)
-    return prior_sums_given(df, keys, order, sums, heavy_keys(df, keys, task_rows), task_rows)
+            return _window_scans(df, [], order, scans)
+        return _spread_scans(df, [], order, scans, rows, task_rows)
+    return _scans_given(df, keys, order, scans, heavy_keys(df, keys, task_rows), task_rows)
 
 
 def prior_sums_given(
@@ -142,13 +196,17 @@ def prior_sums_given(
     task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """``prior_sums`` with the heavy keys already found, for several sums over one table."""
+    return _scans_given(df, keys, order, _summing(sums), heavy, task_rows)
+
+
+def _scans_given(df, keys, order, scans, heavy: DataFrame | None, task_rows: int) -> DataFrame:
     light, spread = split_by_weight(df, keys, heavy)
-    result = _window_sums(light, keys, order, sums)
+    result = _window_scans(light, keys, order, scans)
     if spread is None:
         return result
-    names = [*df.columns, *sums]
+    names = [*df.columns, *scans]
     rows = heavy.agg(F.sum("_key_rows")).first()[0]
-    spread = _spread_sums(spread.drop("_key_rows"), keys, order, sums, rows, task_rows)
+    spread = _spread_scans(spread.drop("_key_rows"), keys, order, scans, rows, task_rows)
     return result.select(names).unionByName(spread.select(names))
 
 
@@ -174,7 +232,7 @@ def with_position(
     names = [*df.columns, "position", "key_rows"]
     rows = heavy.agg(F.sum("_key_rows")).first()[0]
     spread = (
-        _spread_sums(heavy_rows, keys, order, {"position": F.lit(1)}, rows, task_rows)
+        _spread_scans(heavy_rows, keys, order, _summing({"position": F.lit(1)}), rows, task_rows)
         .withColumn("position", F.col("position").cast("long") + 1)
         .withColumnRenamed("_key_rows", "key_rows")
     )

@@ -20,21 +20,20 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 class _CustomerTotals(StatefulProcessor):
-    """One value per customer in the state store; gives the totals before the batch."""
+    """One value per customer in the state store, removed ``keep_ms`` after its last update."""
 
-    def __init__(self, keep_ms: int | None) -> None:
+    def __init__(self, keep_ms: int) -> None:
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.totals = handle.getValueState("totals", _TOTALS, self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        before = tuple(self.totals.get() or (0, 0))
-        visits, noshows = before
+        visits, noshows = self.totals.get() or (0, 0)
         for row in rows:
             visits, noshows = visits + row.visits, noshows + row.noshows
         self.totals.update((visits, noshows))
-        yield Row(customer_id=key[0], visits=before[0], noshows=before[1])
+        yield Row(customer_id=key[0], visits=visits, noshows=noshows)
 
     def close(self) -> None:
         pass
@@ -47,15 +46,21 @@ def _partial_totals(batches):
         yield grouped.agg(visits="size", noshows="sum").reset_index()
 
 
-def totals_before(rows: DataFrame, keep_ms: int | None = None) -> DataFrame:
-    """Per micro-batch one row per customer in it: the customer's totals of earlier batches."""
+def running_totals(rows: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """Per micro-batch one row per customer in it: the customer's totals after the batch.
+
+    Without a time to keep them the totals are a streaming aggregation, which stays in
+    the JVM; only one with a time needs a processor of its own.
+    """
     partial = rows.select("customer_id", noshow_int().cast("long").alias("noshows"))
+    if keep_ms is None:
+        return partial.groupBy("customer_id").agg(
+            F.count(F.lit(1)).alias("visits"), F.sum("noshows").alias("noshows")
+        )
     return (
         partial.mapInPandas(_partial_totals, _CUSTOMER)
         .groupBy("customer_id")
-        .transformWithState(
-            _CustomerTotals(keep_ms), _CUSTOMER, "Append", "None" if keep_ms is None else "ProcessingTime"
-        )
+        .transformWithState(_CustomerTotals(keep_ms), _CUSTOMER, "Update", "ProcessingTime")
     )
 
 
@@ -86,12 +91,13 @@ def history_stream(
     A customer's totals lie in the state store of the query, below ``checkpoint``; a
     micro-batch reads and writes those of its own customers only. Inside a micro-batch
     bookings are ordered by (time, id) with the skew-proof running sums, to which the
-    totals of earlier batches are added. Results are numbered by batch, so a repeated
+    totals of earlier batches (those after the batch less its own) are added. Results are numbered by batch, so a repeated
     batch, which starts from the same state, rewrites the same files. Exact when no
     booking arrives in a later batch than one that follows it.
 
     With ``keep_ms`` the totals of a customer without bookings for that many
     milliseconds of processing time are removed, and the customer counts from 0 again.
+    The state of the two kinds differs, so a checkpoint stays with its kind.
     """
     known = bookings.filter(C("customer_id").isNotNull())
     rows = known.select(
@@ -103,13 +109,24 @@ def history_stream(
         F.lit(None).cast("long").alias("noshows"),
     )
     both = rows.withColumn("is_booking", F.lit(True)).unionByName(
-        totals_before(known, keep_ms).withColumn("is_booking", F.lit(False)), allowMissingColumns=True
+        running_totals(known, keep_ms).withColumn("is_booking", F.lit(False)), allowMissingColumns=True
     )
 
     def process(batch: DataFrame, number: int) -> None:
-        placed = customer_history(batch.filter("is_booking").drop("visits", "noshows"))
-        seen, few = bounded(batch.filter("NOT is_booking").select("customer_id", "visits", "noshows"))
-        placed.join(F.broadcast(seen) if few else seen, "customer_id").select(
+        rows = batch.filter("is_booking").drop("visits", "noshows")
+        after = batch.filter("NOT is_booking").select("customer_id", "visits", "noshows")
+        own = rows.groupBy("customer_id").agg(
+            F.count(F.lit(1)).alias("own_visits"), F.sum(noshow_int()).alias("own_noshows")
+        )
+        before, few = bounded(
+            after.join(own, "customer_id").select(
+                "customer_id",
+                (C("visits") - C("own_visits")).alias("visits"),
+                (C("noshows") - C("own_noshows")).alias("noshows"),
+            )
+        )
+        placed = customer_history(rows)
+        placed.join(F.broadcast(before) if few else before, "customer_id").select(
             "booking_id",
             "customer_id",
             (C("prior_visits") + C("visits")).alias("prior_visits"),
@@ -117,4 +134,4 @@ def history_stream(
         ).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     with _state_settings(bookings.sparkSession):
-        return for_each_batch(both, process, checkpoint)
+        return for_each_batch(both, process, checkpoint, "update")

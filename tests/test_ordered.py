@@ -138,3 +138,71 @@ def test_every_key_may_be_heavy(spark):
     assert heavy_keys(df, ["k"], 10).count() == 300
     summed = prior_sums(df, ["k"], ["t"], {"n": F.lit(1).cast("long")}, 10)
     assert summed.filter(F.col("n") != F.floor(F.col("t") / 300)).count() == 0 and summed.count() == 6000
+
+
+def _plain_as_of(skewed):
+    """Counters and last outcome before every request, row by row."""
+    found = {}
+    all_rows = skewed.withColumn("moment", history.requested_at()).collect()
+    of = {}
+    for r in all_rows:
+        of.setdefault(r["customer_id"], []).append(r)
+    for r in all_rows:
+        seen = [b for b in of[r["customer_id"]] if b["booking_datetime"] < r["moment"]]
+        last = max(seen, key=lambda b: (b["booking_datetime"], b["booking_id"]), default=None)
+        found[r["booking_id"]] = (
+            len(seen),
+            sum(b["outcome"] == "No-Show" for b in seen),
+            max((b["past_cancellation_count"] for b in seen), default=0),
+            last and last["outcome"],
+        )
+    return found
+
+
+@pytest.mark.parametrize("task_rows", [100, 10**6])
+def test_requests_see_earlier_bookings_only(skewed, task_rows):
+    """Also when the hot customer is cut into slices."""
+    few = skewed.filter("customer_id = 'hot' OR CAST(booking_id AS BIGINT) % 4 = 0").drop("is_repeat_customer")
+    expected = _plain_as_of(few)
+    counters = history.history_as_of(few, few, history.requested_at(), task_rows)
+    joined = history.asof_join(
+        few.drop("outcome"), few.select("booking_id", "customer_id", "booking_datetime", "outcome"),
+        ["customer_id"], history.requested_at(), F.col("booking_datetime"), ["outcome"],
+        ["booking_id"], task_rows=task_rows,
+    )
+    last = {r["booking_id"]: r["outcome"] for r in joined.collect()}
+    found = {
+        r["booking_id"]: (*[r[name] for name in history.COUNTERS], last[r["booking_id"]])
+        for r in counters.collect()
+    }
+    assert found == expected and any(v[0] for v in found.values())
+
+
+def test_as_of_join_of_ties_nulls_and_clashing_names(spark):
+    schema = "k string, t int, found string, asked string, known int"
+    left = spark.createDataFrame(
+        [("a", 5, "L1", "x", 1), ("a", 1, "L2", "x", 2), (None, 5, "L3", "x", 3), ("a", None, "L4", "x", 4),
+         ("z", 9, "L5", "x", 5), ("a", 5, "L1", "x", 1)], schema,
+    )
+    right = spark.createDataFrame(
+        [("a", 5, 1, "same"), ("a", 3, 1, "low"), ("a", 3, 2, None), ("a", 2, 9, "old"), (None, 1, 1, "none"),
+         ("a", None, 1, "never")], "k string, t int, at int, value string",
+    )
+
+    def joined(equal, right=right):
+        found = history.asof_join(
+            left, right, ["k"], F.col("t"), F.col("t"), ["value", "at"], ["at"], equal, 2
+        )
+        assert found.columns == [*left.columns, "value", "at"]
+        return sorted((r["found"], r["value"], r["at"]) for r in found.collect())
+
+    none = [("L2", None, None), ("L3", None, None), ("L4", None, None), ("L5", None, None)]
+    assert joined(False) == [("L1", None, 2)] * 2 + none  # the value of the last row is null
+    assert joined(True) == [("L1", "same", 1)] * 2 + none
+    assert joined(False, right.limit(0)) == [("L1", None, None)] * 2 + none
+
+
+def test_requests_as_of_take_one_shuffle(bookings):
+    plan = history.history_as_of(bookings, bookings, history.requested_at())
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in text
