@@ -32,7 +32,7 @@ from slotwise.sources import artifacts
 from slotwise.sources.bookings import read_bookings, read_requests, write_bookings, write_scores
 from slotwise.streaming.history import history_stream
 from slotwise.streaming.io import stream_bookings, stream_requests, write_stream
-from slotwise.streaming.monitoring import drift_stream, noshow_rate_stream
+from slotwise.streaming.monitoring import drift_stream, noshow_rate_stream, rate_divergence_stream
 from slotwise.streaming.scoring import (
     HISTORY,
     enrich_as_of_stream,
@@ -771,6 +771,22 @@ def stream_noshow_rate(spark, sf_dir):
     return rounded(spark.read.schema(rates.schema).parquet(out))
 
 
+@query
+def stream_rate_divergence(spark, sf_dir):
+    """Rule scores of a request stream meet the outcomes, which come as a stream of their own."""
+    parts = _periods(spark, sf_dir)
+    requests = [part.drop("outcome") for part in parts]
+    asked = _in_files(spark, sf_dir, "divergence-requests", requests)
+    known = _in_files(spark, sf_dir, "divergence-outcomes", parts)
+    scored = dashboard.with_manual_risk(stream_bookings(spark, asked, files_per_trigger=2))
+    rates = rate_divergence_stream(
+        scored.withColumnRenamed("risk_score", "score"),
+        stream_bookings(spark, known, files_per_trigger=2),
+    )
+    out = _run(spark, sf_dir, "divergence", lambda path, mark: write_stream(rates, path, mark))
+    return rounded(spark.read.schema(rates.schema).parquet(out))
+
+
 @query
 def stream_history(spark, sf_dir):
     path = _in_files(spark, sf_dir, "history-in", _periods(spark, sf_dir))

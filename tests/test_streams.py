@@ -11,7 +11,13 @@ from slotwise import schema
 from slotwise.operators import drift, history, scoring
 from slotwise.streaming.history import history_stream
 from slotwise.streaming.io import stream_bookings, stream_requests, write_stream
-from slotwise.streaming.monitoring import drift_stream, noshow_rate_stream, with_divergence
+from slotwise.streaming.monitoring import (
+    drift_stream,
+    late_rows,
+    noshow_rate_stream,
+    rate_divergence_stream,
+    with_divergence,
+)
 from slotwise.streaming.scoring import enrich, history_snapshot, rejected_stream, score_stream
 
 ORDER = ["booking_datetime", "booking_id"]
@@ -112,6 +118,39 @@ def test_noshow_rate_of_closed_windows(spark, bookings, source, tmp_path):
     assert with_divergence(batch, 2.0).filter("alert").count() == batch.count()
 
 
+def _day(make, day, *ids, outcome="Show"):
+    when = f"2025-06-{day:02d} 12:00:00"
+    return make(*[dict(booking_id=i, booking_datetime=when, outcome=outcome) for i in ids])
+
+
+def test_scores_meet_outcomes_of_another_stream(spark, make, tmp_path):
+    """Outcomes come first, last, never or too late; the rest equals the batch join."""
+    asked, known, out, mark = (str(tmp_path / n) for n in ("asked", "known", "out", "mark"))
+    scores = [("a", 2, 0.5), ("b", 2, 0.25), ("never", 3, 0.5), ("no score", 3, None), ("end", 20, 0.5), ("late", 2, 0.5)]
+    outcomes = [_day(make, 2, "b", "only outcome", outcome="No-Show"), _day(make, 3, "no score"),
+                _day(make, 2, "a"), _day(make, 20, "end"), _day(make, 2, "late")]
+    on_time = []
+    for number, rows in enumerate([scores[:2], scores[2:4], [], scores[4:5], scores[5:]]):
+        side = spark.createDataFrame(rows, "booking_id string, day int, score double").selectExpr(
+            "booking_id", "make_timestamp_ntz(2025, 6, day, 12, 0, 0) AS booking_datetime", "score")
+        side.coalesce(1).write.mode("append").parquet(asked)
+        outcomes[number].coalesce(1).write.mode("append").parquet(known)
+        schema_of = spark.read.parquet(asked).schema
+        streams = (spark.readStream.schema(schema_of).parquet(asked), stream_bookings(spark, known))
+        rates = rate_divergence_stream(*streams, width="1 day", delay="2 days")
+        query = write_stream(rates, out, mark)
+        query.awaitTermination()
+        dropped = late_rows(query)
+        if number < 4:
+            on_time.append((spark.read.parquet(asked), spark.read.parquet(known)))
+            assert dropped == 0
+    assert dropped == 2  # the score and the outcome of the late booking
+    found = spark.read.schema(rates.schema).parquet(out).collect()
+    batch = rate_divergence_stream(*on_time[-1], width="1 day").filter("day(window_start) < 20").collect()
+    assert found == batch
+    assert [(r["total"], r["actual_rate"], r["predicted_rate"], r["alert"]) for r in found] == [(2, 0.5, 0.375, True)]
+
+
 def test_scores_equal_the_batch(spark, bookings, trained, tmp_path):
     path = str(tmp_path / "in")
     wrong_hour = F.when(F.col("staff_id") == "S03", 99).otherwise(F.col("hour_of_day"))
