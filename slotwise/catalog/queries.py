@@ -740,6 +740,17 @@ def contribution_importance(spark, sf_dir):
     return found
 
 
+@query
+def shapley_values(spark, sf_dir):
+    """Attribution of every booking's score under the best boosted model, written and read back."""
+    model = tables.trained(spark, sf_dir)
+    best = model.models[attribution.best_tree_models(model, 1)[0]]
+    found = attribution.shapley_values(_attribution_frame(spark, sf_dir), best, model.feature_names)
+    path = _folder(spark, sf_dir, "contributions")
+    artifacts.write_contributions(found, path)
+    return spark.read.schema(found.schema).parquet(path).select(found.columns)
+
+
 # --- streams ------------------------------------------------------------------------
 
 
