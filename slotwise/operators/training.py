@@ -18,7 +18,6 @@ from pyspark.ml.classification import (
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 
@@ -28,6 +27,7 @@ from slotwise import constants as K
 from slotwise.functions.features import row_features
 from slotwise.operators import features as fx
 from slotwise.operators import metrics
+from slotwise.operators.trees import prefix_margins
 from slotwise.plans.dims import bounded
 from slotwise.plans.materialize import materialize, materialize_spread
 from slotwise.plans.ordered import prior_sums
@@ -56,13 +56,17 @@ class Settings:
     trials: int = 80
     search_trees: tuple[int, int] = (200, 800)
     search_depth: tuple[int, int] = (4, 12)
+    draws_per_point: int = 4  # draws that differ in the number of trees only: one fit
+    rungs: int = 3  # of successive halving, the last on all rows or fit_rows
+    rung_factor: int = 3
+    fit_rows: int | None = None  # bound of the rows of a search fit; other fits take all
     parallelism: int = 2
 
 
 QUICK = Settings(
     folds=3, logistic_iterations=15, forest_trees=10, forest_depth=5, boosted_a_trees=4,
     boosted_a_depth=3, boosted_b_trees=4, boosted_b_depth=3, trials=2, search_trees=(3, 5),
-    search_depth=(2, 3), parallelism=5,
+    search_depth=(2, 3), draws_per_point=2, rungs=1, parallelism=5,
 )
 
 # The job of the registered queries: all folds and iterations; its tree counts, depths and
@@ -80,6 +84,8 @@ def sizes(s: Settings) -> dict[str, int]:
         "trials": s.trials,
         "search_trees_min": s.search_trees[0], "search_trees_max": s.search_trees[1],
         "search_depth_min": s.search_depth[0], "search_depth_max": s.search_depth[1],
+        "draws_per_point": s.draws_per_point, "rungs": s.rungs, "rung_factor": s.rung_factor,
+        "fit_rows": s.fit_rows or 0,  # 0: all rows
     }
 
 
@@ -152,46 +158,103 @@ def boosted_b(s: Settings) -> GBTClassifier:
 
 
 def search_space(estimator: GBTClassifier, s: Settings) -> list[dict]:
-    """Seeded random draws over the ranges of the boosting search."""
+    """Seeded random draws over the ranges of the boosting search.
+
+    ``draws_per_point`` draws in a row share all but the number of trees, so that the
+    largest of them is fitted and the others are read from its prefixes.
+    """
     draw = random.Random(s.seed)
     grids = []
-    for _ in range(s.trials):
-        grids.append(
-            {
-                estimator.maxIter: draw.randint(*s.search_trees),
+    for number in range(s.trials):
+        if number % s.draws_per_point == 0:
+            point = {
                 estimator.maxDepth: draw.randint(*s.search_depth),
                 estimator.stepSize: 10 ** draw.uniform(-2.301, -0.699),
                 estimator.subsamplingRate: draw.uniform(0.6, 0.95),
                 estimator.featureSubsetStrategy: f"{draw.uniform(0.5, 0.95):.4f}",
                 estimator.minInstancesPerNode: draw.randint(1, 15),
             }
-        )
+        grids.append({estimator.maxIter: draw.randint(*s.search_trees), **point})
     return grids
 
 
+def rung_shares(rows: int, s: Settings) -> list[float]:
+    """Share of the training rows that the fits of each rung take, growing by ``rung_factor``.
+
+    The last rung takes ``fit_rows`` rows, or all without that bound.
+    """
+    last = 1.0 if s.fit_rows is None else min(1.0, s.fit_rows / max(rows, 1))
+    return [last / s.rung_factor**left for left in reversed(range(s.rungs))]
+
+
+def share_of_rows(df: DataFrame, share: float, seed: int) -> DataFrame:
+    """About ``share`` of the rows, chosen by a hash of the booking: a smaller share is a subset."""
+    if share >= 1:
+        return df
+    place = F.pmod(F.xxhash64("booking_id", F.lit(seed)), F.lit(1 << 30))
+    return df.filter(place < int(share * (1 << 30)))
+
+
 def search_boosted(
     folds: list[tuple[DataFrame, DataFrame]], s: Settings
 ) -> tuple[GBTClassifier, float]:
     """Best parameters by mean AUC over ``fold_tables``; returns (estimator, AUC).
 
+    Successive halving: every draw is fitted on a small share of the training rows, the
+    best 1 in ``rung_factor`` go on to a share ``rung_factor`` times as large, and so on for
+    ``rungs`` rungs; the AUC is that of the last. ``fit_rows`` bounds the rows of the
+    search's fits (in expectation); held-out rows are always all. Draws that share a point
+    cost one fit (``prefix_margins``). Ties go to the earlier draw. A fold without two
+    labels gives no AUC and is left out of the mean.
+
     A trial's training rows carry staff rates of those rows alone, so nothing of
     the held-out labels reaches it. Unlike ``CrossValidator`` this does not refit
     the winner on all rows, which the caller does later with its own features.
     """
     base = GBTClassifier(weightCol="weight", seed=s.seed)
     grids = search_space(base, s)
-    evaluator = BinaryClassificationEvaluator(metricName="areaUnderROC")
-
-    def held_out_auc(trial: tuple[int, int]) -> float:
-        number, fold = trial
+    kept, means = list(range(len(grids))), {}
+    rows = max(train.count() for train, _ in folds)
+    for share in rung_shares(rows, s):
+        smaller = [(share_of_rows(train, share, s.seed), held_out) for train, held_out in folds]
+        if share < 1:
+            smaller = [(materialize(train), held_out) for train, held_out in smaller]
+        means = rung_aucs(smaller, base, grids, kept, s)
+        ranked = sorted(kept, key=lambda number: (-means[number], number))
+        kept = ranked[: -(-len(ranked) // s.rung_factor)]
+    return base.copy(grids[kept[0]]), means[kept[0]]
+
+
+def rung_aucs(
+    folds: list[tuple[DataFrame, DataFrame]],
+    base: GBTClassifier,
+    grids: list[dict],
+    kept: list[int],
+    s: Settings,
+) -> dict[int, float]:
+    """Mean held-out AUC of the draws ``kept``, by their place in ``grids``; one fit a point and fold."""
+    points: dict[int, list[int]] = {}
+    for number in kept:
+        points.setdefault(number // s.draws_per_point, []).append(number)
+
+    def held_out_aucs(task: tuple[int, int]) -> dict[int, float | None]:
+        point, fold = task
+        draws = points[point]
         train, held_out = folds[fold]
-        return evaluator.evaluate(base.fit(train, grids[number]).transform(held_out))
-
-    trials = [(number, fold) for number in range(len(grids)) for fold in range(s.folds)]
-    aucs = _in_parallel(folds[0][0], held_out_auc, trials, s.parallelism)
-    means = [sum(aucs[i * s.folds : (i + 1) * s.folds]) / s.folds for i in range(len(grids))]
-    best = max(range(len(grids)), key=means.__getitem__)
-    return base.copy(grids[best]), means[best]
+        largest = max(draws, key=lambda number: grids[number][base.maxIter])
+        model = base.fit(train, grids[largest])
+        scored = prefix_margins(held_out, model, [grids[number][base.maxIter] for number in draws])
+        entries = F.posexplode("margins").alias("place", "score")
+        found = metrics.roc_auc(scored.select("label", entries), ["place"]).collect()
+        return {draws[row["place"]]: row["roc_auc"] for row in found}
+
+    tasks = [(point, fold) for point in points for fold in range(len(folds))]
+    aucs: dict[int, list[float]] = {number: [] for number in kept}
+    for found in _in_parallel(folds[0][0], held_out_aucs, tasks, s.parallelism):
+        for number, auc in found.items():
+            if auc is not None:
+                aucs[number].append(auc)
+    return {number: sum(values) / len(values) if values else 0.5 for number, values in aucs.items()}
 
 
 def _in_parallel(frame: DataFrame, work, items: list, parallelism: int) -> list:
