@@ -75,8 +75,11 @@ def _both_sides(reference: DataFrame, current: DataFrame, names: list[str]) -> D
     )
 
 
-def _ks(counts: DataFrame, task_rows: int) -> DataFrame:
-    """Running sums go over distinct values, so ties are exact."""
+def ks_of_counts(counts: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``feature, n_ref, n_cur, statistic`` from ``feature, value, ref, cur``.
+
+    Running sums go over distinct values, so ties are exact.
+    """
     counts = materialize(counts)
     running = prior_sums(
         counts, ["feature"], ["value"], {"ref_below": C("ref"), "cur_below": C("cur")}, task_rows
@@ -120,7 +123,7 @@ def ks_2samp(
     """``feature, statistic, n_ref, n_cur``: largest distance of the two distribution functions."""
     names = _present(names or K.DRIFT_NUMERIC, reference.columns, current.columns)
     ref, cur = (value_counts(df, names, "double") for df in (reference, current))
-    return _ks(_both_sides(ref, cur, names), task_rows)
+    return ks_of_counts(_both_sides(ref, cur, names), task_rows)
 
 
 def chi2(
@@ -210,7 +213,7 @@ def drift_report(
         )
         return _both_sides(*sides, names)
 
-    distances = _ks(both(numeric, "number"), task_rows).select(
+    distances = ks_of_counts(both(numeric, "number"), task_rows).select(
         "feature", "n_ref", "n_cur", "statistic", F.lit("KS").alias("test"),
         kolmogorov_p(C("statistic"), C("n_ref"), C("n_cur")).alias("p"),
     )
