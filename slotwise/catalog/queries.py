@@ -19,11 +19,13 @@ from slotwise.operators import (
     dashboard,
     dataset,
     drift,
+    drift_windows,
     features,
     history,
     metrics,
     profiles,
     retention,
+    rollup,
     scoring,
     training,
 )
@@ -612,6 +614,32 @@ def score_calibration(spark, sf_dir):
     )
 
 
+# --- reports from daily partials ---------------------------------------------------
+
+
+def _stored(spark, sf_dir, *filters) -> DataFrame:
+    return rollup.read_rollup(spark, tables.rollup(spark, sf_dir, *WINDOW), *filters)
+
+
+@query
+def rollup_kpis(spark, sf_dir):
+    return rounded(rollup.executive_kpis(_stored(spark, sf_dir, *WINDOW, SOME_BRANCHES, SOME_SERVICES)))
+
+
+@query
+def rollup_trend(spark, sf_dir):
+    return rounded(rollup.noshow_trend(_stored(spark, sf_dir, *WINDOW), "week"))
+
+
+@query
+def rollup_summary(spark, sf_dir):
+    """The summary from all partials, and whether its customers are within 5 % of the exact number."""
+    exact = tables.bookings(spark, sf_dir).agg(F.count_distinct("customer_id")).scalar()
+    found = rollup.dataset_summary(_stored(spark, sf_dir))
+    close = F.abs(C("customers") - exact) <= 0.05 * exact
+    return rounded(found.withColumn("customers_close", close).drop("customers"))
+
+
 # --- drift ----------------------------------------------------------------------
 
 
@@ -649,6 +677,38 @@ def drift_history(spark, sf_dir):
     return _flat(drift.read_drift_history(spark, path))
 
 
+@query
+def drift_by_window(spark, sf_dir):
+    """Exact distance per window of the second period, and whether that of the sketches is in its bound."""
+    before, after = _periods(spark, sf_dir)
+    panes = drift_windows.pane_sketches(after)
+    sketched = drift_windows.window_drift(
+        drift_windows.reference_sketches(before), drift_windows.window_sketches(panes)
+    )
+    exact = drift_windows.exact_window_drift(before, after)
+    gap = F.abs(C("sketched") - C("statistic"))
+    return rounded(
+        exact.join(
+            sketched.select("window_start", "feature", C("statistic").alias("sketched"), "lowest", "highest"),
+            ["window_start", "feature"],
+        ).select(
+            "window_start", "feature", "n_ref", "n_cur", "statistic", "lowest", "highest",
+            (gap <= drift_windows.error_bound()).alias("sketch_within_bound"),
+        )
+    )
+
+
+@query
+def stream_drift_panes(spark, sf_dir):
+    """Panes that a stream stored as sketches, put together from its batches."""
+    path = _in_files(spark, sf_dir, "panes-in", _periods(spark, sf_dir))
+    source = stream_bookings(spark, path, files_per_trigger=2)
+    out = _run(spark, sf_dir, "panes", lambda out, mark: drift_windows.drift_sketch_stream(source, out, mark))
+    panes = drift_windows.compact_panes(drift_windows.read_panes(spark, out))
+    n = F.kll_sketch_get_n_double("sketch").alias("n")
+    return rounded(panes.select("pane", "feature", n, "lowest", "highest"))
+
+
 def _flat(log: DataFrame) -> DataFrame:
     return log.withColumn("drifted_features", F.array_join("drifted_features", ", "))
 

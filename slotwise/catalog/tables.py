@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from slotwise.catalog.orders_view import map_bookings
 from slotwise.operators import profiles as pr
+from slotwise.operators import rollup as daily
 from slotwise.operators.training import REGISTERED, Trained, train_all
 from slotwise.plans.materialize import shared_folder, written
 from slotwise.sources.bookings import read_bookings, write_bookings
@@ -42,6 +43,19 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rollup(spark: SparkSession, sf_dir: str, first_day: str, last_day: str) -> str:
+    """Folder of the daily partials of all bookings, the given days written once more."""
+    source = bookings(spark, sf_dir)
+
+    def make(name: str) -> str:
+        path = f"{shared_folder(spark)}/{name}"
+        daily.write_rollup(source, path)
+        daily.write_rollup(source, path, first_day, last_day)
+        return path
+
+    return _once(f"rollup-{first_day}-{last_day}", spark, sf_dir, make)
+
+
 def trained(spark: SparkSession, sf_dir: str) -> Trained:
     """Models trained on all bookings with the sizes of ``REGISTERED``, which the reports return."""
     source = bookings(spark, sf_dir)
