@@ -62,31 +62,44 @@ SPELLINGS = [
     ("centre", "center"), ("favour", "favor"), ("fulfil", "fulfill"), ("judgement", "judgment"), ("organisation", "organization"),
     ("per cent", "percent"), ("programme", "program"), ("recognise", "recognize"), ("version ", "v"), ("ver ", "v"), ("v ", "v"),
 ]
-COPYRIGHT = r"(?m)^[ \t*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 # A statement ends with its line or where a notice begins; lines of a wrapped licence are none.
-STATEMENT = (
-    r"(?m)^[ \t*#/;-]*(copyright(?![ \t]+(notices?|holders?|owners?|and|or|laws?|license)\b)|\(c\)|©|all rights reserved)"
-    r"[^\n]*?(?=\n|\z|\b(licen[sc]ed under|released under|distributed under|spdx-license-identifier|permission is hereby|permission to use|"
-    r"redistribution and use|use of this source|to the extent possible|this (work|program|library|software|source code form|file) is)\b)"
+_START = r"(?m)^[ \t*#/;-]*"
+_OTHER = r"[ \t]+(?:notices?|holders?|owners?|and|or|laws?|license)\b"
+_NOTICE = (
+    r"\b(?:licen[sc]ed under|released under|distributed under|spdx-license-identifier|permission is hereby|permission to use|"
+    r"redistribution and use|use of this source|to the extent possible|this (?:work|program|library|software|source code form|file) is)\b"
 )
+STATEMENT = rf"{_START}(copyright(?!{_OTHER})|\(c\)|©|all rights reserved)[^\n]*?(?=\n|\z|{_NOTICE})"
 
 
-# how to replace all, a backslash in a literal, and what is cut (DuckDB's patterns can't look ahead)
-SPARK = ("regexp_replace({0}, {1}, {2})", "\\\\", STATEMENT)
-DUCKDB = ("regexp_replace({0}, {1}, {2}, 'g')", "\\", COPYRIGHT)
+# Steps that cut the statements. DuckDB's patterns can't look ahead: what is no statement is marked
+# first, and a notice that ends one is put back.
+CUTS = [(STATEMENT, "")]
+MARK = "copy\x01right"
+CUTS_BY_CAPTURE = [
+    (rf"({_START})copyright({_OTHER})", rf"\1{MARK}\2"),
+    (rf"{_START}(?:copyright|\(c\)|©|all rights reserved)[^\n]*?({_NOTICE}|$)", r"\1"),
+    (MARK, "copyright"),
+]
+# how to replace all, a backslash in a literal, and the cuts
+SPARK = ("regexp_replace({0}, {1}, {2})", "\\\\", CUTS)
+DUCKDB = ("regexp_replace({0}, {1}, {2}, 'g')", "\\", CUTS_BY_CAPTURE)
 
 
-def _step(value: str, pattern: str, new: str, dialect: tuple[str, str, str]) -> str:
+def _step(value: str, pattern: str, new: str, dialect: tuple[str, str, list]) -> str:
     replace, slash, _ = dialect
     return replace.format(value, "'" + pattern.replace("\\", slash) + "'", f"'{new}'")
 
 
-def _words_only(text: str, dialect: tuple[str, str, str]) -> str:
+def _words_only(text: str, dialect: tuple[str, str, list]) -> str:
     """SQL for lower case, without copyright statements, a blank for all that is no letter or digit."""
-    return _step(_step(f"lower({text})", dialect[2], "", dialect), "[^a-z0-9]+", " ", dialect)
+    kept = f"lower({text})"
+    for pattern, new in dialect[2]:
+        kept = _step(kept, pattern, new, dialect)
+    return _step(kept, "[^a-z0-9]+", " ", dialect)
 
 
-def _spelled(text: str, dialect: tuple[str, str, str]) -> str:
+def _spelled(text: str, dialect: tuple[str, str, list]) -> str:
     """SQL for the same words in one spelling."""
     for old, new in SPELLINGS:
         text = _step(text, rf"\b{old}" + ("" if old.endswith(" ") else r"\b"), new, dialect)
@@ -156,7 +169,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _duckdb() -> str:
     """The same steps for DuckDB."""
     form = lambda column: _spelled(_words_only(column, DUCKDB), DUCKDB)
-    values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in NOTICES)
+    values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in NOTICES + TEXTS)
     return f"""
 WITH known AS (
   SELECT DISTINCT license, md5({form("text")}) AS d FROM (VALUES {values}) AS t(license, text)
