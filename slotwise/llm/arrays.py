@@ -2,8 +2,11 @@
 
 A batch of texts becomes one byte buffer with a separator after every text, so
 that words, windows and hashes of all its texts come from a few array passes.
-Hashes are polynomials modulo 2^64 over random byte values, mixed at the end;
-where a hash decides, two of them with different bases are used (128 bits).
+A word's hash sums its bytes' random values, each times a random odd factor of its
+place in the word: powers of a base would do for windows of a few words, but modulo
+2^64 they make regular words of 1,024 bytes collide whatever the base. Windows are
+polynomials modulo 2^64 over the hashes of their words, mixed at the end; where a
+hash decides, two of them with different bases are used (128 bits).
 """
 
 from __future__ import annotations
@@ -40,6 +43,11 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def place_factors(n: int) -> np.ndarray:
+    """A random odd factor for each of the places 0..n-1."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(WORD_BASE)) | np.uint64(1)
+
+
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a text column; a null counts as an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -102,11 +110,14 @@ class Words:
         self.first = np.searchsorted(self.start, self.offsets)
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(rows), self.count)
-        up, down = powers(WORD_BASE, len(self.bytes))
-        sums = np.zeros(len(self.bytes) + 1, np.uint64)
-        np.cumsum(byte_values()[self.bytes] * up[:-1], dtype=np.uint64, out=sums[1:])
-        length = (self.end - self.start).astype(np.uint64)
-        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start] + length)
+        length = self.end - self.start
+        data = self.bytes[inside]
+        begin = np.cumsum(length) - length  # of each word in data
+        place = np.arange(len(data)) - np.repeat(begin, length)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        factors = place_factors(int(length.max(initial=0)))
+        np.cumsum(byte_values()[data] * factors[place], dtype=np.uint64, out=sums[1:])
+        self.hash = mix(sums[begin + length] - sums[begin] + length.astype(np.uint64))
 
     def __len__(self) -> int:
         return len(self.start)

@@ -68,6 +68,20 @@ def test_repeats_of_many_chunks(spark, corpus, monkeypatch):
     assert found == sorted(((r[0], *w[1:3]) for r, w in zip(corpus, wanted, strict=True)), key=repr)
 
 
+def test_regular_long_words_stay_apart(spark):
+    """Thue-Morse words and their opposites: powers modulo 2^64 give both one hash from 1,024 bytes on."""
+    rows = []
+    for size in (1024, 4096):
+        word = "".join("ab"[bin(i).count("1") % 2] for i in range(size))
+        other = word.translate(str.maketrans("ab", "ba"))
+        around = [f"w{size}n{i}" for i in range(34)]
+        rows += [" ".join([*around, word, f"left{size}"]), " ".join([*around, other, f"right{size}"])]
+        rows += [" ".join([*around[::-1], word]), " ".join([*around[::-1], word])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = rows_of(remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept_text")
+    assert found == sorted(((i, *w[:3]) for i, w in enumerate(plain_removal(rows, 35))), key=repr)
+
+
 def test_repeats_of_nothing_and_clashing_columns(docs, no_docs):
     assert remove_repeats(no_docs).count() == 0
     out = remove_repeats(docs)
