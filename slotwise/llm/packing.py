@@ -10,6 +10,7 @@ sequences, and only the last sequence of a range is padded.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,12 +102,15 @@ class WordIds:
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            raw = piece.encode().decode("latin-1").translate(self.alphabet)
-            found = np.array([t.id for t in self.model.tokenize(raw)], "<u4").tobytes()
-            self.pieces[piece] = found
+            # printable ASCII stands for itself
+            raw = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+            ids = [t.id for t in self.model.tokenize(raw)]
+            found = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():  # one piece
+            return self._piece(word.lower())
         if self.plain.match(word) and "<|" not in word:
             return b"".join([self._piece(p) for p in self.parts.findall(word.lower())])
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
@@ -116,7 +120,7 @@ class WordIds:
         words = text.replace("\n", " ").split(" ")
         for word in set(words).difference(self.words):
             self.words[word] = self._word(word)
-        out = b"".join([self.words[w] for w in words])
+        out = b"".join(map(self.words.__getitem__, words))
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
             self.pieces.clear()
