@@ -11,6 +11,7 @@ hash decides, two of them with different bases are used (128 bits).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ import pyarrow as pa
 
 WORD_BASE, BASE_1, BASE_2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 PIECE_BYTES, PIECE_ROWS = 1_000_000, 4096
+HASHED_BYTES = 1 << 17
 
 
 def byte_values() -> np.ndarray:
@@ -110,14 +112,26 @@ class Words:
         self.first = np.searchsorted(self.start, self.offsets)
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(rows), self.count)
+        self.hash = self._hashes()
+
+    def _hashes(self) -> np.ndarray:
+        """A hash per word; a slice of words at a time, as eight bytes per byte of text are many."""
         length = self.end - self.start
-        data = self.bytes[inside]
-        begin = np.cumsum(length) - length  # of each word in data
-        place = np.arange(len(data)) - np.repeat(begin, length)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        factors = place_factors(int(length.max(initial=0)))
-        np.cumsum(byte_values()[data] * factors[place], dtype=np.uint64, out=sums[1:])
-        self.hash = mix(sums[begin + length] - sums[begin] + length.astype(np.uint64))
+        values, factors = byte_values(), place_factors(int(length.max(initial=0)))
+        ends = np.cumsum(length)
+        out = np.empty(len(length), np.uint64)
+        a = 0
+        while a < len(length):
+            done = int(ends[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, done + HASHED_BYTES, side="right")))
+            size, begin = length[a:b], ends[a:b] - length[a:b] - done  # begin: of each word in what is hashed here
+            place = np.arange(ends[b - 1] - done) - np.repeat(begin, size)
+            data = self.bytes[np.repeat(self.start[a:b], size) + place]
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(values[data] * factors[place], dtype=np.uint64, out=sums[1:])
+            out[a:b] = mix(sums[begin + size] - sums[begin] + size.astype(np.uint64))
+            a = b
+        return out
 
     def __len__(self) -> int:
         return len(self.start)
@@ -164,6 +178,14 @@ def joined(words: Words, keep: np.ndarray) -> pa.Array:
     )
 
 
+def give_back() -> None:
+    """Return memory that earlier chunks freed to the system; both allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def binary_rows(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """Binary values ``values[bounds[i]:bounds[i+1]]``, without copying."""
     values = np.ascontiguousarray(values)

@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from slotwise.llm.arrays import BASE_1, BASE_2, SPACES, Words, binary_rows, cover, joined
+from slotwise.llm.arrays import BASE_1, BASE_2, SPACES, Words, binary_rows, cover, give_back, joined
 from slotwise.llm.tables import BUCKET_BYTES, CHUNK_BYTES, chunk_of, shares, text_bytes, without
 
 WINDOW = 35
@@ -264,12 +264,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, cut_text: bool = False
     by_chunk = dealt.groupBy("_chunk")
 
     def probes(table: pa.Table) -> pa.Table:
+        give_back()
         return _probes(table, block, buckets)
 
     def candidates(table: pa.Table, replies: pa.Table) -> pa.Table:
+        give_back()
         return _candidates(table, replies, window, block, buckets)
 
     def cut(table: pa.Table, replies: pa.Table) -> pa.Table:
+        give_back()
         return _cut(table, replies, window, buckets, cut_text)
 
     anchors = by_chunk.applyInArrow(probes, PROBE).groupBy("_bucket").applyInArrow(_answers, REPLY)

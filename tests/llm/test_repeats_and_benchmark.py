@@ -82,6 +82,26 @@ def test_regular_long_words_stay_apart(spark):
     assert found == sorted(((i, *w[:3]) for i, w in enumerate(plain_removal(rows, 35))), key=repr)
 
 
+def test_word_hashes_need_little_memory_and_no_slice_changes_them(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+    from slotwise.llm import arrays
+
+    texts = pa.array(["", None, "a", "bc a " * 60_000, "d" * 300_000 + " a", " \n"])
+    whole = arrays.Words(texts, arrays.SPACES)
+    monkeypatch.setattr(arrays, "HASHED_BYTES", 1000)
+    tracemalloc.start()
+    sliced = arrays.Words(texts, arrays.SPACES)
+    assert (whole.hash == sliced.hash).all() and len(set(sliced.hash.tolist())) == 3
+    long = pa.array(["some words of a long text " * 80_000])
+    tracemalloc.reset_peak()
+    arrays.Words(long, arrays.SPACES)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * len(long[0].as_py())  # 37 when all bytes were hashed at once
+
+
 def test_repeats_of_nothing_and_clashing_columns(docs, no_docs):
     assert remove_repeats(no_docs).count() == 0
     out = remove_repeats(docs)
