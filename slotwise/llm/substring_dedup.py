@@ -148,8 +148,14 @@ def _sizes(bucket: np.ndarray) -> dict[int, int]:
     return dict(zip(values.tolist(), counts.tolist(), strict=True))
 
 
+def _in_order(docs: pa.Table) -> pa.Table:
+    """The chunk's rows in the order of their texts: an exchange may give them in another order each time it is read."""
+    return docs.take(pc.sort_indices(docs.column("text")))
+
+
 def _candidates(docs: pa.Table, replies: pa.Table, window: int, block: int, buckets: int) -> pa.Table:
     """Windows around anchor hits, for comparison, and the marks of where they start."""
+    docs = _in_order(docs)
     words = Words(docs.column("text"), SPACES)
     at, keys = _anchor_keys(words, block, buckets)
     first, number, _ = _distinct(keys)
@@ -201,6 +207,7 @@ def _without(words: Words, texts: pa.ChunkedArray, gone: np.ndarray, begin: np.n
 
 def _cut(docs: pa.Table, replies: pa.Table, window: int, buckets: int, cut_text: bool) -> pa.Table:
     """The chunk's documents without the words of repeated windows."""
+    docs = _in_order(docs)  # that of the marks
     words = Words(docs.column("text"), SPACES)
     chunk = docs.column("_chunk")[0].as_py()
     marks = next(

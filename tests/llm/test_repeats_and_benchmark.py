@@ -1,5 +1,6 @@
 """Substring dedup and decontamination against plain Python."""
 
+import random
 import re
 from collections import Counter
 
@@ -68,6 +69,27 @@ def test_repeats_of_many_chunks(spark, corpus, monkeypatch):
     assert found == sorted(((r[0], *w[1:3]) for r, w in zip(corpus, wanted, strict=True)), key=repr)
 
 
+def test_rows_of_a_chunk_may_come_in_another_order_each_time(corpus):
+    """An exchange read twice may give a chunk's rows in two orders; what is cut may not follow from that."""
+    import pyarrow as pa
+    from slotwise.llm import substring_dedup as s
+
+    texts = [r[1] for r in corpus]
+    docs = pa.table({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts, pa.string()), "_chunk": pa.array([0] * len(texts))})
+
+    def by_bucket(rows, answer):
+        buckets = sorted(set(rows.column("_bucket").to_pylist()))
+        return pa.concat_tables([answer(rows.filter(pa.array([b == x for x in rows.column("_bucket").to_pylist()]))) for b in buckets])
+
+    wanted = plain_removal(texts, 35)
+    for seed in range(3):
+        first, second, third = (docs.take(random.Random(9 * seed + k).sample(range(len(texts)), len(texts))) for k in range(3))
+        anchors = by_bucket(s._probes(first, 18, 2), s._answers)
+        marks = by_bucket(s._candidates(second, anchors, 35, 18, 2), s._verdicts)
+        found = s._cut(third, marks, 35, 2, False).sort_by("doc_id").to_pylist()
+        assert [(r["n_words"], r["n_removed"], r["kept_text"]) for r in found] == [w[:3] for w in wanted]
+
+
 def test_regular_long_words_stay_apart(spark):
     """Thue-Morse words and their opposites: powers modulo 2^64 give both one hash from 1,024 bytes on."""
     rows = []
