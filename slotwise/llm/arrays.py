@@ -2,7 +2,8 @@
 
 A batch of texts becomes one byte buffer with a separator after every text, so
 that words, windows and hashes of all its texts come from a few array passes.
-A word's hash sums its bytes' random values, each times a random odd factor of its
+A word of at most 32 bytes is hashed eight bytes at a time, mixed after each step. The
+hash of a longer one sums its bytes' random values, each times a random odd factor of its
 place in the word: powers of a base would do for windows of a few words, but modulo
 2^64 they make regular words of 1,024 bytes collide whatever the base. Windows are
 polynomials modulo 2^64 over the hashes of their words, mixed at the end; where a
@@ -20,6 +21,8 @@ import pyarrow as pa
 WORD_BASE, BASE_1, BASE_2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 PIECE_BYTES, PIECE_ROWS = 1_000_000, 4096
 HASHED_BYTES = 1 << 17
+BLOCK, SHORT_WORD = 8, 32
+FEW_WORDS = 4
 
 
 def byte_values() -> np.ndarray:
@@ -66,10 +69,14 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Cut batches by rows so that a piece holds about a megabyte of text, in 4096 rows at most."""
+    """Cut batches by rows so that a piece holds about a megabyte of text, in 4096 rows at most.
+
+    What earlier batches and tasks of the worker freed goes back to the system before each batch.
+    """
     for batch in batches:
         if batch.num_rows == 0:
             continue
+        give_back()
         _, offsets = text_buffers(batch.column(column))
         start = 0
         while start < batch.num_rows:
@@ -81,10 +88,40 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
 
 SPACES = np.ones(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = False
+BYTES_KEPT = np.array([(1 << 8 * n) - 1 for n in range(BLOCK + 1)], np.uint64)
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
+def ordered(keys: np.ndarray) -> np.ndarray:
+    """Order of unsigned keys, equal ones as they come.
+
+    Sorts numbers of the keys' upper bits and the place; only where keys differ in the
+    lower bits alone are the keys sorted themselves.
+    """
+    if len(keys) == 0:
+        return np.zeros(0, np.int64)
+    bits = len(keys).bit_length()
+    free = 64 - max(int(keys.max()).bit_length(), 1)
+    packed = ((keys << np.uint64(free)) >> np.uint64(bits) << np.uint64(bits)) | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    order = (packed & np.uint64((1 << bits) - 1)).view(np.int64)
+    in_order = keys[order]
+    return np.argsort(keys, kind="stable") if (in_order[1:] < in_order[:-1]).any() else order
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct unsigned keys in order, the number of each key, and copies of each."""
+    order = ordered(keys)
+    in_order = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(in_order[1:], in_order[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return in_order[first], number, np.diff(np.append(first, len(keys)))
+
+
 class Words:
     """Words of all texts of a column, in order.
 
@@ -96,7 +133,10 @@ class Words:
     def __init__(self, column: pa.Array | pa.ChunkedArray, kinds: np.ndarray, lower: bool = False):
         data, offsets = text_buffers(column)
         rows = len(offsets) - 1
-        self.bytes = np.full(len(data) + rows + 1, 0x20, np.uint8)
+        padded = np.full(len(data) + rows + 1 + BLOCK, 0x20, np.uint8)
+        self.bytes = padded[:-BLOCK]
+        # the eight bytes from each byte on
+        self._blocks = np.ndarray(len(self.bytes), "<u8", padded, strides=(1,))
         self.offsets = offsets + np.arange(rows + 1)
         for i in range(rows):
             a = self.offsets[i]
@@ -114,9 +154,29 @@ class Words:
         self.doc = np.repeat(np.arange(rows), self.count)
         self.hash = self._hashes()
 
+    def heads(self, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        """The first ``size`` bytes, eight at most, from each byte of ``at``, as a number."""
+        return self._blocks[at] & BYTES_KEPT[np.minimum(size, BLOCK)]
+
     def _hashes(self) -> np.ndarray:
-        """A hash per word; a slice of words at a time, as eight bytes per byte of text are many."""
+        """A hash per word; a slice of words at a time, as arrays per word or byte are many times the text."""
         length = self.end - self.start
+        out = np.empty(len(length), np.uint64)
+        step = max(1, HASHED_BYTES // BLOCK)
+        for a in range(0, len(length), step):
+            start, size = self.start[a : a + step], length[a : a + step]
+            h = mix(self.heads(start, size) ^ mix(size.astype(np.uint64)))
+            for done in range(BLOCK, SHORT_WORD, BLOCK):
+                more = np.flatnonzero(size > done)
+                if len(more) == 0:
+                    break
+                h[more] = mix(self.heads(start[more] + done, size[more] - done) ^ h[more])
+            out[a : a + step] = h
+        long = np.flatnonzero(length > SHORT_WORD)
+        out[long] = self._long_hashes(self.start[long], length[long])
+        return out
+
+    def _long_hashes(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         values, factors = byte_values(), place_factors(int(length.max(initial=0)))
         ends = np.cumsum(length)
         out = np.empty(len(length), np.uint64)
@@ -126,7 +186,7 @@ class Words:
             b = max(a + 1, int(np.searchsorted(ends, done + HASHED_BYTES, side="right")))
             size, begin = length[a:b], ends[a:b] - length[a:b] - done  # begin: of each word in what is hashed here
             place = np.arange(ends[b - 1] - done) - np.repeat(begin, size)
-            data = self.bytes[np.repeat(self.start[a:b], size) + place]
+            data = self.bytes[np.repeat(start[a:b], size) + place]
             sums = np.zeros(len(data) + 1, np.uint64)
             np.cumsum(values[data] * factors[place], dtype=np.uint64, out=sums[1:])
             out[a:b] = mix(sums[begin + size] - sums[begin] + size.astype(np.uint64))
@@ -144,6 +204,11 @@ class Words:
 
     def rolling(self, size: int, base: int, at: np.ndarray) -> np.ndarray:
         """Hashes of the ``size`` words from each position of ``at``."""
+        if size <= FEW_WORDS:
+            total = self.hash[at]
+            for k in range(1, size):
+                total += self.hash[at + k] * np.uint64(pow(base, k, 2**64))
+            return mix(total)
         up, down = powers(base, len(self))
         sums = np.zeros(len(self) + 1, np.uint64)
         np.cumsum(self.hash * up[:-1], dtype=np.uint64, out=sums[1:])

@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from slotwise.llm.arrays import ALNUM, SPACES, WORD_BASE, Words, byte_values, mix, pieces, powers
+from slotwise.llm.arrays import ALNUM, SPACES, Words, mix, pieces
 from slotwise.llm.language_id import held_out
 from slotwise.llm.tables import read, without
 
@@ -165,6 +165,13 @@ def decode(tokens: list[bytes], costs: np.ndarray) -> list[bytes]:
     return out
 
 
+def _running(marks: np.ndarray) -> np.ndarray:
+    """How many of ``marks`` are set before each; a piece holds too few bytes for more than 32 bits."""
+    out = np.zeros(len(marks) + 1, np.int32 if len(marks) < 2**31 else np.int64)
+    np.cumsum(marks, dtype=out.dtype, out=out[1:])
+    return out
+
+
 def restore(column: pa.Array, costs: np.ndarray) -> pa.Array:
     """Lower-cased texts with their disguised tokens restored."""
     lowered = pc.utf8_lower(column.fill_null(""))
@@ -176,9 +183,9 @@ def restore(column: pa.Array, costs: np.ndarray) -> pa.Array:
     signs[[ord(c) for c in LOOKALIKES]] = True
     joints = signs.copy()
     joints[[ord(c) for c in ".-_~^`'/\\,;:=&%"]] = True
-    state = _letter_states()[data]
+    state = _letter_states().astype(np.int8)[data]
     is_letter = (state > 0) | (state == -1)
-    sums = [np.concatenate([[0], np.cumsum(x)]) for x in (is_letter, joints[data])]
+    sums = [_running(x) for x in (is_letter, joints[data])]
     letters, joined = (s[words.end] - s[words.start] for s in sums)
     # a sign between letters, or at the edge of a word
     between = np.zeros(len(data), bool)
@@ -186,13 +193,13 @@ def restore(column: pa.Array, costs: np.ndarray) -> pa.Array:
     edge = signs[data]
     triple = np.zeros(len(data), bool)
     triple[2:] = is_letter[2:] & (data[2:] == data[1:-1]) & (data[2:] == data[:-2]) & (state[2:] > 0)
-    flag = np.concatenate([[0], np.cumsum(between | triple | edge)])
+    flag = _running(between | triple | edge)
     flagged = ((flag[words.end] - flag[words.start]) > 0) & (letters > 0)
     # one sign at the end of a word is punctuation
     last = data[words.end - 1]
     flagged &= ~((joined == 1) & signs[last] & ~triple[words.end - 1] & (flag[words.end] - flag[words.start] == 1))
     # runs of single letters of any script; signs between them belong to the run
-    begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    begins = _running((data & 0xC0) != 0x80)
     single = (begins[words.end] - begins[words.start] == 1) & (is_letter[words.start] | signs[data[words.start]])
     change = np.flatnonzero(np.diff(single.astype(np.int8), prepend=0, append=0))
     spans = []
@@ -245,14 +252,11 @@ LETTERS[0x30:0x3A] = False
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Words]:
     """Hashes of all words and word beginnings, with the number of the word."""
     words = Words(texts, LETTERS)
-    up, down = powers(WORD_BASE, len(words.bytes))
-    sums = np.zeros(len(words.bytes) + 1, np.uint64)
-    np.cumsum(byte_values()[words.bytes] * up[:-1], dtype=np.uint64, out=sums[1:])
     hashes, place = [words.hash], [np.arange(len(words))]
     for size in PREFIXES:
         long = np.flatnonzero(words.end - words.start > size)
         start = words.start[long]
-        hashes.append(mix((sums[start + size] - sums[start]) * down[start] + np.uint64(1000 + size)))
+        hashes.append(mix(words.heads(start, size) ^ mix(np.full(1, 1000 + size, np.uint64))))
         place.append(long)
     return np.concatenate(hashes), np.concatenate(place), words
 

@@ -136,3 +136,14 @@ def test_scores_without_labels_and_of_edge_rows(spark, docs, no_docs):
     labels = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
     found = rows_of(tx.score(docs, tx.fit(docs.select("doc_id", "text"), labels)), "score")
     assert len(found) == docs.count()
+
+
+def test_features_need_little_memory():
+    import tracemalloc
+
+    text = "abcdefghijklmnopqrstuvwxy " * 40_000
+    tracemalloc.start()
+    tx.features(pa.array([text]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25 * len(text)  # 35 when powers of a base for every byte were made

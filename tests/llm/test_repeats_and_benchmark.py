@@ -124,6 +124,33 @@ def test_word_hashes_need_little_memory_and_no_slice_changes_them(monkeypatch):
     assert peak < 30 * len(long[0].as_py())  # 37 when all bytes were hashed at once
 
 
+def test_word_hashes_tell_words_of_any_length_apart():
+    import pyarrow as pa
+    from slotwise.llm import arrays
+
+    rng = random.Random(3)
+    words = {"".join(rng.choices("ab\x00é", k=n)) for n in [*range(1, 40), 100] for _ in range(30)}
+    words |= {"a" * n for n in range(1, 80)}
+    words = sorted(w for w in words if w)
+    found = arrays.Words(pa.array([" ".join(words), *words]), arrays.SPACES).hash
+    assert len(set(found.tolist())) == len(words) and (found[: len(words)] == found[len(words) :]).all()
+
+
+def test_distinct_keys_are_those_of_a_plain_sort():
+    import numpy as np
+    from slotwise.llm.arrays import distinct
+
+    rng = np.random.default_rng(4)
+    top = np.uint64(2**64 - 1)
+    for keys in (
+        rng.integers(0, 50, 1000).astype(np.uint64), rng.integers(0, 2**48, 3000).astype(np.uint64),
+        top - rng.integers(0, 40, 1000).astype(np.uint64),  # apart in the lowest bits alone
+        np.zeros(5, np.uint64), np.zeros(0, np.uint64), np.full(1, top),
+    ):
+        wanted = np.unique(keys, return_inverse=True, return_counts=True)
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(distinct(keys), wanted, strict=True))
+
+
 def test_repeats_of_nothing_and_clashing_columns(docs, no_docs):
     assert remove_repeats(no_docs).count() == 0
     out = remove_repeats(docs)
