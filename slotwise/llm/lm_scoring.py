@@ -23,7 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from slotwise.llm.arrays import BASE_1, SPACES, Words, mix, pieces
+from slotwise.llm.arrays import BASE_1, SPACES, Words, distinct as _distinct, mix, pieces
 from slotwise.llm.tables import BUCKET_BYTES, chunk_of, read, shares, text_bytes, without
 
 ORDER, BACKOFF = 3, 0.4
@@ -48,11 +48,6 @@ def _words(docs: pa.Table) -> Words:
     return Words(pa.array([unpack(t) for t in docs.column("_packed").to_pylist()], pa.binary()), SPACES, lower=True)
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    distinct, number = np.unique(keys, return_inverse=True)
-    return distinct, number, np.bincount(number, minlength=len(distinct))
-
-
 def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     """Partition of a key: the whole part of parts * key / 2^64, so in the order of the keys."""
     n, half = np.uint64(parts), np.uint64(32)
@@ -144,7 +139,7 @@ def _levels(words: Words, order: int, totals: list[np.ndarray]):
         own = np.ones(len(keys), np.int64)
         often = np.flatnonzero(counts[number] > 1)
         doc = np.concatenate([words.doc[at] for at in places])
-        _, same, many = _distinct(doc[often] * np.int64(max(len(distinct), 1)) + number[often])
+        _, same, many = _distinct((doc[often] * np.int64(max(len(distinct), 1)) + number[often]).view(np.uint64))
         own[often] = many[same]
         found = (elsewhere + counts)[number] - own
         begin = 0
