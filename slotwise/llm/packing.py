@@ -25,7 +25,7 @@ from slotwise.llm.tables import read, shares, text_bytes, without, write_out
 LENGTH, END_ID = 4096, 2
 AXES, STEPS, CELLS = 4, 12, 256
 RANGE_BYTES = 8_000_000
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 OUT = ("start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 
 
@@ -75,6 +75,28 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+class _Kept(dict):
+    """Results of ``make``; the ones before it, if asked for again, are taken over."""
+
+    def __init__(self, make, before: dict):
+        super().__init__()
+        self.make, self.before = make, before
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.before.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found
+
+    def turned(self, most: int) -> _Kept:
+        """Itself, or an empty one after it if it holds over ``most``: two at once, so that frequent words stay."""
+        if len(self) <= most:
+            return self
+        self.before = {}
+        return _Kept(self.make, self)
+
+
 class WordIds:
     """Token ids of texts, word by word.
 
@@ -87,7 +109,7 @@ class WordIds:
 
     def __init__(self, path: str):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.parts = re.compile(
             "'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\\[-`{-~]+"
         )
@@ -96,34 +118,38 @@ class WordIds:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = str.maketrans({chr(b): chr(256 + i) for i, b in enumerate(hidden)})
-        kept = tokenizers.__dict__.setdefault("_slotwise_words", {})  # outlives the task, not the worker
-        self.words, self.pieces = kept.setdefault(path, ({}, {}))
+        self.words = _Kept(self._word, {})
+
+    @classmethod
+    def kept(cls, path: str) -> WordIds:
+        """That of this worker, which outlives its tasks: reading the tokenizer takes as long as 500 texts."""
+        here = tokenizers.__dict__.setdefault("_slotwise_words", {})
+        if path not in here:
+            here[path] = cls(path)
+        return here[path]
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            # printable ASCII stands for itself
-            raw = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
-            ids = [t.id for t in self.model.tokenize(raw)]
-            found = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
-        return found
+        # printable ASCII stands for itself
+        raw = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+        ids = [t.id for t in self.tokenize(raw)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha():  # one piece
-            return self._piece(word.lower())
+        if word.isascii():
+            if word.isalpha():  # one piece
+                return self._piece(word) if word.islower() else self.words[word.lower()]
+            head, last = word[:-1], word[-1:]
+            if head.isalpha() and "!" <= last <= "~" and not last.isalnum():  # and a sign after it
+                return self.words[head.lower()] + self.words[last]
         if self.plain.match(word) and "<|" not in word:
-            return b"".join([self._piece(p) for p in self.parts.findall(word.lower())])
+            parts = self.parts.findall(word.lower())
+            return self._piece(parts[0]) if parts == [word] else b"".join([self.words[p] for p in parts])
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        for word in set(words).difference(self.words):
-            self.words[word] = self._word(word)
-        out = b"".join(map(self.words.__getitem__, words))
-        if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-            self.pieces.clear()
+        out = b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+        self.words = self.words.turned(KEPT_WORDS)
         return out
 
 
@@ -131,7 +157,7 @@ def _sequences(
     batches: Iterator[pa.RecordBatch], path: str, length: int, end_id: int
 ) -> Iterator[pa.RecordBatch]:
     """Pieces of the documents of one range, in its order."""
-    encoder = WordIds(path)
+    encoder = WordIds.kept(path)
     last = np.array([end_id], "<u4").tobytes()
     sequence, used = TaskContext.get().partitionId() << 32, 0
     for batch in pieces(batches, "text"):

@@ -54,6 +54,16 @@ def test_words_give_the_ids_of_the_whole_text(text):
     assert found == plain_ids(text)[:-1]
 
 
+def test_words_kept_are_bounded_and_outlive_a_task(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_WORDS", 20)
+    assert packing.WordIds.kept(PATH) is packing.WordIds.kept(PATH)
+    encoder = packing.WordIds(PATH)
+    for i in range(60):
+        text = f"the The, word{i} n{i}! 'tis it's été Été. {i} , '' ' the"
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == plain_ids(text)[:-1]
+        assert len(encoder.words) + len(encoder.words.before) <= 2 * (20 + 20) and not getattr(encoder.words.before, "before", {})
+
+
 def test_hilbert_visits_neighbours():
     grid = np.array([[x, y, z] for x in range(8) for y in range(8) for z in range(8)])
     place = packing.hilbert(grid, 3)
